@@ -29,7 +29,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     checksum come to the driver.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    pairs = stored(pairs, "edges")
     before = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -55,13 +55,17 @@ THRESHOLD_PERCENT = 75
 #: The frequent class holds the most common tokens, at most so many (eight bytes each
 #: are broadcast). Which tokens it holds sets the order and the cost, never the result.
 FREQUENT_LIST = 500_000
-#: A token is a candidate for it that stands in so many documents of one block of about BLOCK tokens.
-FREQUENT_IN_BLOCK = 4
+#: A token is a candidate for it that stands in this share of the documents of one
+#: block of about BLOCK tokens (in FREQUENT_LEAST of them at least).
+FREQUENT_SHARE = 0.01
+FREQUENT_LEAST = 4
 BLOCK = 1_000_000
 #: Extension of prefixes, as a part of the set's size.
 EXTENSION = 0.06
 #: Rounds of drawing candidates to one member of each posting list.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: These rounds look at one key in so many; the last step looks at all.
+STAR_KEYS = 4
 
 _PROFILE = "kind int, id long, n long, a long, b long"
 _PREFIX = "cls long, n int, need int, keys array<long>"
@@ -111,7 +115,7 @@ def _profiles(k: int):
 
     def common(block: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(block), return_counts=True)
-        often = count >= FREQUENT_IN_BLOCK
+        often = count >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(block))
         n = int(often.sum())
         return batch_of([1] * n, signed(token[often]), count[often], [0] * n, [0] * n)
 
@@ -230,13 +234,10 @@ def _near(n: str, m: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
 
-def _with_components(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+def _with_components(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Posting lists that still hold more than one component, with each member's component."""
-    if links is None:
-        named = lists.withColumn("comp", F.col("cls"))
-    else:
-        comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     return stored(named.join(mixed, "key"), "mixed")
 
@@ -261,15 +262,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixes = texts.select("text").mapInArrow(_prefixes(k, percent, listed), _PREFIX)
     posted = prefixes.select("cls", "n", "need", F.explode("keys").alias("key"))
     lists = stored(_shared_keys(posted), "lists")
-    for _ in range(2):  # a class with too few shared keys leaves; others' lists get shorter by that
-        kept = lists.groupBy("cls").agg(F.count("*").alias("has"), F.max("need").alias("asked")).filter("has >= asked").select("cls")
-        lists = stored(_shared_keys(lists.join(kept, "cls").select("cls", "n", "need", "key")), "lists")
+    # a class with too few shared keys leaves; others' lists get shorter by that
+    kept = lists.groupBy("cls").agg(F.count("*").alias("has"), F.max("need").alias("asked")).filter("has >= asked").select("cls")
+    lists = stored(_shared_keys(lists.join(kept, "cls").select("cls", "n", "need", "key")), "lists")
 
     left = lists.select("cls").distinct()
     first = members.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id")).join(left, "cls").select("id")
     sets = stored(texts.join(first, "id", "left_semi").select("text").mapInArrow(_token_sets(k), _SETS).dropDuplicates(["cls"]), "sets")
 
-    tried, links, mixed = None, None, _with_components(lists, None)
+    tried, links = None, None
+    some = lists.filter(f"pmod(key, {STAR_KEYS}) = 0")
+    mixed = some.withColumn("comp", F.col("cls"))
     for turn in range(STAR_ROUNDS):
         order = F.col("cls") if turn == 0 else F.xxhash64(F.col("cls"), F.lit(turn))
         hubs = mixed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("h")).select("key", "h.hub", "h.m", "h.other")
@@ -281,12 +284,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         checked = stored(_verified(best, sets, percent), "checked")
         tried = checked if tried is None else tried.unionByName(checked)
         found = checked.filter("linked").count()
-        if not found:
-            break
         links = tried.filter("linked")
-        mixed = _with_components(mixed.drop("comp"), links)
+        if not found or turn == STAR_ROUNDS - 1:
+            break
+        mixed = _with_components(some, links)
 
     # whatever still shares a list across components: every such pair with enough shared keys
+    mixed = _with_components(lists, links)
     x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "need", "comp"))) for s in "xy")
     rest = (
         x.join(y, "key")

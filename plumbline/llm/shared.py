@@ -61,7 +61,7 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = os.path.join(scratch(spark), name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
