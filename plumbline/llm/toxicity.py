@@ -37,7 +37,7 @@ from plumbline.llm.shared import LOWER, arrow_schema, bounded_batches, required,
 TRAINING_ROWS = 20_000
 #: Candidates counted, lexicon voters kept, and in how many toxic texts one has to stand.
 CANDIDATES, LEXICON, SUPPORT = 20_000, 300, 5
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6, 8)
 TOXIC_FROM = 0.7
 PATTERNS = ("several", "many", "dense", "shouting", "none")
 _LETTER = np.zeros(256, bool)
@@ -147,7 +147,9 @@ class LabelModel:
                     for w in (q, 1 - q):
                         rates.append((w[at] @ v[at, j] + 0.5) / (w[at].sum() + 1.0))
                     p, r = rates
-                    logit[at] += np.where(v[at, j] == 1, np.log(p / r), np.log((1 - p) / (1 - r)))
+                    # a voter that abstains says nothing; the label always says something
+                    silent = np.log((1 - p) / (1 - r)) if j == v.shape[1] - 1 else 0.0
+                    logit[at] += np.where(v[at, j] == 1, np.log(p / r), silent)
             q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         self.posterior = q
 
