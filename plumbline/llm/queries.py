@@ -5,13 +5,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard
+from plumbline.llm import bpe, contamination, jaccard, substring, toxicity
 from plumbline.llm.shared import table
 
 
+def vocabulary() -> str:
+    """The vocabulary file of op1 (a public tokenizer's, installed with it)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op2_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.substring_dedup(table(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_ngram_jaccard_join,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_chunk_reuse,
+        op2_toxicity_weak_supervision,
+        op7_substring_recompression,
+        op9_decontamination,
+        op10_ngram_jaccard_join,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": contamination.ORACLE}
