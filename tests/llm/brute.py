@@ -75,3 +75,22 @@ def contained(docs, items, percent=75, k=5):
                 hits.append(item)
         out[i] = ",".join(map(str, sorted(set(hits))))
     return out
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    text = text or ""
+    w = words(text)
+    places = defaultdict(list)
+    for i in range(len(w) - 7):
+        places[tuple(w[i : i + 8])].append(i)
+    covered = {j for at in places.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return (
+        len(w),
+        sum(map(len, w)),
+        sum(text.count(c) for c in "#*$%&|<>"),
+        len(lines) - len(set(lines)),
+        len(covered),
+        len(w) < 20 or 100 * len(covered) > 30 * len(w),
+    )
