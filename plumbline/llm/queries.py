@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, contamination, jaccard, substring, toxicity
+from plumbline.llm import archives, bpe, contamination, extraction, jaccard, licenses, quality, substring, toxicity, url_lists
 from plumbline.llm.shared import table
 
 
@@ -24,10 +24,30 @@ def op2_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.over_pages(spark, sf_dir)
+
+
 def op7_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("lost_chars", "cleaned")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,9 +61,18 @@ QUERIES = {
     for f in (
         op1_bpe_chunk_reuse,
         op2_toxicity_weak_supervision,
+        op3_license_scan,
+        op4_html_extraction,
+        op5_warc_from_arc,
+        op6_url_temporal_lists,
         op7_substring_recompression,
+        op8_quality_rules,
         op9_decontamination,
         op10_ngram_jaccard_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": contamination.ORACLE}
+#: Where SQL is bearable on whole tables; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_temporal_lists": url_lists.ORACLE,
+    "op9_decontamination": contamination.ORACLE,
+}

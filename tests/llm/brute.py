@@ -94,3 +94,15 @@ def quality(text):
         len(covered),
         len(w) < 20 or 100 * len(covered) > 30 * len(w),
     )
+
+
+def license_base(text):
+    """(n_words, n_base, first, last, base_labels)."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    starts, labels = [], set()
+    for label, phrase in (("cc-by", ["cc", "by"]), ("gpl", ["general", "public", "license"]), ("reserved", ["all", "rights", "reserved"])):
+        for i in range(len(w)):
+            if w[i : i + len(phrase)] == phrase:
+                starts.append(i)
+                labels.add(label)
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
