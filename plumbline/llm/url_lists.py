@@ -113,23 +113,23 @@ WITH p AS (
   SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
          CAST({START} + page_id * 7919 % {365 * DAY} AS BIGINT) AS fetched_at FROM pages
 ), h AS (SELECT DISTINCT host FROM p WHERE host <> ''),
-l AS (SELECT host, {START} + (length(host) * 7 % 200) * {DAY} AS at FROM h WHERE length(host) % 2 = 0),
+l AS (SELECT host, {START} + (length(host) * 7 % 200) * {DAY} AS "at" FROM h WHERE length(host) % 2 = 0),
 e AS (
-  SELECT 'domain:' || host AS value, 'add' AS action, at FROM l
-  UNION ALL SELECT 'domain:' || host, 'remove', at + {60 * DAY} FROM l
+  SELECT 'domain:' || host AS value, 'add' AS action, "at" FROM l
+  UNION ALL SELECT 'domain:' || host, 'remove', "at" + {60 * DAY} FROM l
   UNION ALL SELECT 'domain:' || host, 'add', {START + 150 * DAY} FROM h WHERE host LIKE '%.net'
   UNION ALL SELECT 'path:' || host || '/fr', 'add', {START + 30 * DAY} FROM h WHERE host LIKE 'm.%'
-  UNION ALL SELECT * FROM (VALUES ('domain:example.org', 'add', {START + 20 * DAY}), ('domain:example.org', 'remove', {START + 80 * DAY}), ('domain:example.com', 'add', {START + 300 * DAY})) AS f(value, action, at)
-), s AS (SELECT value, at, max(action) AS action FROM e GROUP BY 1, 2),
-c AS (SELECT *, lag(action) OVER (PARTITION BY value ORDER BY at) AS before FROM s),
-d AS (SELECT value, action, at, lead(at) OVER (PARTITION BY value ORDER BY at) AS until FROM c WHERE before IS NULL OR before <> action),
+  UNION ALL SELECT * FROM (VALUES ('domain:example.org', 'add', {START + 20 * DAY}), ('domain:example.org', 'remove', {START + 80 * DAY}), ('domain:example.com', 'add', {START + 300 * DAY})) AS f(value, action, "at")
+), s AS (SELECT value, "at", max(action) AS action FROM e GROUP BY 1, 2),
+c AS (SELECT *, lag(action) OVER (PARTITION BY value ORDER BY "at") AS before FROM s),
+d AS (SELECT value, action, "at", lead("at") OVER (PARTITION BY value ORDER BY "at") AS until FROM c WHERE before IS NULL OR before <> action),
 k AS (
   SELECT page_id, fetched_at, unnest(list_distinct(list_concat(
     ['domain:' || array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
     CASE WHEN regexp_extract(url, '^[^/?#]*//[^/?#]*(/[^/?#]+)', 1) <> '' THEN ['path:' || host || regexp_extract(url, '^[^/?#]*//[^/?#]*(/[^/?#]+)', 1)] ELSE [] END))) AS value
   FROM p WHERE host <> ''
 ), m AS (
-  SELECT k.page_id, count(*) AS n, min(k.value) AS entry FROM k JOIN d ON d.action = 'add' AND d.value = k.value AND k.fetched_at >= d.at AND (d.until IS NULL OR k.fetched_at < d.until) GROUP BY 1
+  SELECT k.page_id, count(*) AS n, min(k.value) AS entry FROM k JOIN d ON d.action = 'add' AND d.value = k.value AND k.fetched_at >= d."at" AND (d.until IS NULL OR k.fetched_at < d.until) GROUP BY 1
 )
 SELECT p.page_id, p.host, p.fetched_at, m.n IS NOT NULL AS blocked, CAST(coalesce(m.n, 0) AS BIGINT) AS n_active, m.entry FROM p LEFT JOIN m ON m.page_id = p.page_id
 """
