@@ -37,6 +37,8 @@ from plumbline.llm.shared import LOWER, arrow_schema, bounded_batches, required,
 TRAINING_ROWS = 20_000
 #: Candidates counted, lexicon voters kept, and in how many toxic texts one has to stand.
 CANDIDATES, LEXICON, SUPPORT = 20_000, 300, 5
+#: The least log ratio of a lexicon voter's share of toxic and of clean texts: weaker ones make clean texts toxic.
+LEAST_RATIO = 3.0
 PREFIXES = (4, 5, 6, 8)
 TOXIC_FROM = 0.7
 PATTERNS = ("several", "many", "dense", "shouting", "none")
@@ -245,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     candidates = np.sort(np.array([r.feature for r in often.collect()], np.int64).view(np.uint64))
     counted = rows.mapInArrow(_counted(spark.sparkContext.broadcast(candidates)), schema).groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("c"))
     weight = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
-    best = counted.withColumn("w", weight).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("p")), "feature").limit(LEXICON)
+    best = counted.withColumn("w", weight).filter(F.col("w") > LEAST_RATIO).orderBy(F.desc(F.col("w") * F.sqrt("p")), "feature").limit(LEXICON)
     lexicon = np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))
 
     sample = rows.mapInArrow(_votes_of(spark.sparkContext.broadcast(lexicon)), "toxic int, at array<int>, n array<int>, words long, capitals double").collect()
