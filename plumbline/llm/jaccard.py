@@ -1,12 +1,14 @@
 """N-gram Jaccard join with token-combination prefixes (exact).
 
 Tokens are 64-bit hashes of a document's distinct five-word shingles. All
-tokens stand in one global order: rare ones first, tokens of the frequent
-class after them, by hash within a class. A pair whose overlap reaches what
+tokens stand in one global order: rare ones first, then common ones by the
+power of two that counts their documents, tokens of the frequent class last,
+by hash among equals. So a passage that many documents share leaves the
+prefixes of all but those that consist of it. A pair whose overlap reaches what
 the threshold asks shares at least ``l`` tokens in prefixes that are extended
 by ``l - 1`` tokens, so that:
 
-* the rare tokens of an extended prefix are indexed one by one, the frequent
+* the rare and common tokens of an extended prefix are indexed one by one, the frequent
   ones by k-token combinations (k = 2): of the shared tokens either one is
   rare, or ``l`` frequent ones are shared, and then two of them stand so near
   each other in both prefixes that only combinations within a gap are needed;
@@ -52,14 +54,18 @@ from plumbline.llm.shared import (
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
-#: The frequent class holds the most common tokens, at most so many (eight bytes each
-#: are broadcast). Which tokens it holds sets the order and the cost, never the result.
-FREQUENT_LIST = 500_000
-#: A token is a candidate for it that stands in this share of the documents of one
-#: block of about BLOCK tokens (in FREQUENT_LEAST of them at least).
+#: The most common tokens are listed, at most so many (nine bytes each are broadcast).
+#: Which tokens are listed sets the order and the cost, never the result.
+COMMON_LIST = 500_000
+#: A token is common that stands in so many different documents, counted in blocks of
+#: about BLOCK tokens where two documents of the block have it.
+COMMON_LEAST = 4
+BLOCK = 4_000_000
+#: It is of the frequent class if it stands in this share of the documents of one block.
 FREQUENT_SHARE = 0.01
-FREQUENT_LEAST = 4
-BLOCK = 1_000_000
+FREQUENT_LEAST = 16
+#: Added to the levels of the frequent class.
+FREQUENT_LEVEL = 64
 #: Extension of prefixes, as a part of the set's size.
 EXTENSION = 0.06
 #: Rounds of drawing candidates to one member of each posting list.
@@ -106,8 +112,8 @@ def extension(n: int) -> int:
 
 
 def _profiles(k: int):
-    """Rows of kind 0: a document's set (id, size, two names); kind 1: tokens
-    that are common in a block of documents (token, count)."""
+    """Rows of kind 0: a document's set (id, size, two names); kind 1: tokens that
+    several sets of a block have (token, count, 1 where it is of the frequent class)."""
     out = arrow_schema(_PROFILE)
 
     def batch_of(*columns) -> pa.RecordBatch:
@@ -115,40 +121,51 @@ def _profiles(k: int):
 
     def common(block: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(block), return_counts=True)
+        token, count = token[count > 1], count[count > 1]
         often = count >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(block))
-        n = int(often.sum())
-        return batch_of([1] * n, signed(token[often]), count[often], [0] * n, [0] * n)
+        zero = np.zeros(len(token), np.int64)
+        return batch_of(zero + 1, signed(token), count, often.astype(np.int64), zero)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = [], 0
+        block, held, seen = [], 0, set()
         for batch in batches:
             for ids, raw in steps(batch.column(0).to_pylist(), batch.column(1)):
                 sets = list(shingle_sets(raw, k))
                 names = [set_names(x) for x in sets]
                 yield batch_of([0] * len(ids), ids, [len(x) for x in sets], [x[0] for x in names], [x[1] for x in names])
-                block += sets
-                held += sum(map(len, sets))
+                for x, name in zip(sets, names, strict=True):
+                    if len(x) and name not in seen:
+                        seen.add(name)
+                        block.append(x)
+                        held += len(x)
                 if held >= BLOCK:
                     yield common(block)
-                    block, held = [], 0
+                    block, held, seen = [], 0, set()
         if held:
             yield common(block)
 
     return run
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """The keys of a set's extended prefix, and how many of them any linked set shares at least."""
+def levels(tokens: np.ndarray, listed: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The level of each token in the global order; 0 if it isn't listed."""
+    if not len(listed):
+        return np.zeros(len(tokens), np.uint8)
+    at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
+    return np.where(listed[at] == tokens, level[at], np.uint8(0))
+
+
+def prefix_keys(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The keys of a set's extended prefix, and how many of them any linked set shares at least.
+    ``tokens`` are sorted, ``level`` holds the level of each."""
     n = len(tokens)
     asked = extension(n)
     length = min(n, n - needed(n, percent) + asked)
     #: what the smallest possible partner is asked for holds for the pair
     least = extension(needed(n, percent))
-    if not len(frequent):
-        return least, tokens[:length]
-    often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-    rare = tokens[~often][:length]
-    common = tokens[often][: length - len(rare)]
+    order = np.argsort(level, kind="stable")[:length]
+    prefix, often = tokens[order], level[order] >= FREQUENT_LEVEL
+    rare, common = prefix[~often], prefix[often]
     if not len(common):
         return least, rare
     parts = [rare]
@@ -161,11 +178,11 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple
     return max(1, least - len(common)), np.concatenate(parts)
 
 
-def _prefixes(k: int, percent: int, frequent):
+def _prefixes(k: int, percent: int, common):
     out = arrow_schema(_PREFIX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = frequent.value
+        listed, level = common.value
         seen: set[int] = set()
         for batch in batches:
             for _, raw in steps([None] * batch.num_rows, batch.column(0)):
@@ -174,7 +191,7 @@ def _prefixes(k: int, percent: int, frequent):
                     name = set_names(tokens)[0]
                     if len(tokens) and name not in seen:
                         seen.add(name)
-                        asked, keys = prefix_keys(tokens, listed, percent)
+                        asked, keys = prefix_keys(tokens, levels(tokens, listed, level), percent)
                         cls.append(name)
                         n.append(len(tokens))
                         need.append(asked)
@@ -254,9 +271,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = stored(texts.mapInArrow(_profiles(k), _PROFILE), "profile")
     members = profile.filter("kind = 0").select("id", "n", F.col("a").alias("cls"), "b")
 
-    common = profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT_LIST)
-    frequent = np.sort(np.array([r.id for r in common.select("id").toLocalIterator()], np.int64).view(np.uint64))
-    listed = spark.sparkContext.broadcast(frequent)
+    counted = profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n"), F.max("a").alias("often")).filter(F.col("n") >= COMMON_LEAST)
+    level = F.least(F.floor(F.log2("n")), F.lit(FREQUENT_LEVEL - 1)) + FREQUENT_LEVEL * F.col("often")
+    common = counted.orderBy(F.desc("n"), "id").limit(COMMON_LIST).select("id", level.alias("level"))
+    rows = [(r.id, r.level) for r in common.toLocalIterator()]
+    token = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    listed = spark.sparkContext.broadcast((token[order], np.array([r[1] for r in rows], np.uint8)[order]))
 
     # posting lists: one exchange by key; only keys of two classes or more go on
     prefixes = texts.select("text").mapInArrow(_prefixes(k, percent, listed), _PREFIX)
