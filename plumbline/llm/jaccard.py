@@ -15,11 +15,15 @@ by ``l - 1`` tokens, so that:
 * a document with too few prefix keys that any other document has cannot be
   linked and leaves before any pair exists.
 
-Candidate pairs are then drawn to the smallest member of each posting list
-(never all pairs of a list) and verified by exact set overlap. What is left in
+Candidate pairs are then drawn to one member of each posting list (never all
+pairs of a list; first to the member that stands in most lists, as the origin
+of near copies does) and verified by exact set overlap. What is left in
 posting lists that still hold several components is drawn to further members
-until one round links nothing, and at last between the components that still
-share a list, filtered by the number of shared keys. Links within one
+for some rounds, and at last between the components that still share a list.
+There a pair comes to be only if it passes a bound on the overlap: each set
+has 256 bits, the parities of its tokens' counts in 256 cells, and the bits
+in which two sets differ are no more than the tokens in which they differ.
+What passes is filtered by the number of shared keys. Links within one
 component are not sought again, so no component is lost and none of its pairs
 is expanded.
 
@@ -72,10 +76,15 @@ EXTENSION = 0.06
 STAR_ROUNDS = 2
 #: These rounds look at one key in so many; the last step looks at all.
 STAR_KEYS = 4
+#: In each of them a class is held against so many hubs, those with most keys in common.
+STAR_TRIES = 3
+#: Longs of the parity bits that bound a pair's overlap.
+PARITY_LONGS = 4
 
 _PROFILE = "kind int, id long, n long, a long, b long"
 _PREFIX = "cls long, n int, need int, keys array<long>"
-_SETS = "cls long, n int, tokens binary"
+_PARITY = [f"p{i}" for i in range(PARITY_LONGS)]
+_SETS = "cls long, n int, tokens binary, " + ", ".join(f"{p} long" for p in _PARITY)
 
 
 def shingle_sets(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -101,6 +110,12 @@ def set_names(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parities of the tokens' counts in 64 * PARITY_LONGS cells, as longs."""
+    cells = np.bincount((tokens % np.uint64(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def needed(n: int, percent: int = THRESHOLD_PERCENT) -> int:
     """The least overlap of a set of n tokens with any partner: ceil(n * percent / 100)."""
     return -(-n * percent // 100)
@@ -213,10 +228,9 @@ def _token_sets(k: int):
         for batch in batches:
             for _, raw in steps([None] * batch.num_rows, batch.column(0)):
                 sets = list(shingle_sets(raw, k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_names(x)[0] for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    schema=out,
-                )
+                bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, PARITY_LONGS)
+                columns = [[set_names(x)[0] for x in sets], [len(x) for x in sets], [x.tobytes() for x in sets], *bits.T]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return run
 
@@ -251,11 +265,20 @@ def _near(n: str, m: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
 
+def _may_link(percent: int) -> F.Column:
+    """Whether the bits in which sets x and y differ leave room for a link: at most
+    (n_x + n_y) * (100 - percent) / (100 + percent) tokens of linked sets differ."""
+    differ = " + ".join(f"bit_count({p}_x ^ {p}_y)" for p in _PARITY)
+    return F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n_x + n_y)")
+
+
 def _with_components(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Posting lists that still hold more than one component, with each member's component."""
+    """Posting lists that still hold more than one component, with each member's
+    component and the one that has most members in the list (``main``)."""
     comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    held = named.groupBy("key", "comp").agg(F.count("*").alias("held"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("most.comp").alias("main"))
     return stored(named.join(mixed, "key"), "mixed")
 
 
@@ -295,13 +318,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = lists.filter(f"pmod(key, {STAR_KEYS}) = 0")
     mixed = some.withColumn("comp", F.col("cls"))
     for turn in range(STAR_ROUNDS):
-        order = F.col("cls") if turn == 0 else F.xxhash64(F.col("cls"), F.lit(turn))
-        hubs = mixed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("h")).select("key", "h.hub", "h.m", "h.other")
+        if turn == 0:  # the member of most lists first
+            ranked, order = mixed.join(mixed.groupBy("cls").agg(F.count("*").alias("lists")), "cls"), F.struct(-F.col("lists"), "cls")
+        else:
+            ranked, order = mixed, F.xxhash64(F.col("cls"), F.lit(turn))
+        hubs = ranked.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("h")).select("key", "h.hub", "h.m", "h.other")
         drawn = mixed.join(hubs, "key").filter(F.expr("comp <> other") & _near("n", "m", percent)).groupBy("cls", "hub").count()
         pairs = drawn.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "cls", "count")
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        best = pairs.groupBy("cls").agg(F.max(F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        by_class = Window.partitionBy("cls").orderBy(F.desc("count"), "a", "b")
+        best = pairs.withColumn("try", F.row_number().over(by_class)).filter(F.col("try") <= STAR_TRIES).select("a", "b").distinct()
         checked = stored(_verified(best, sets, percent), "checked")
         tried = checked if tried is None else tried.unionByName(checked)
         found = checked.filter("linked").count()
@@ -310,13 +337,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         mixed = _with_components(some, links)
 
-    # whatever still shares a list across components: every such pair with enough shared keys
-    mixed = _with_components(lists, links)
-    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "need", "comp"))) for s in "xy")
+    # whatever still shares a list across components: every such pair that may link and has enough shared keys;
+    # members of a list's main component are only held against the others
+    mixed = _with_components(lists, links).join(sets.select("cls", *_PARITY), "cls")
+    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "need", "comp", "main", *_PARITY))) for s in "xy")
     rest = (
-        x.join(y, "key")
-        .filter(F.expr("cls_x < cls_y and comp_x <> comp_y") & _near("n_x", "n_y", percent))
-        .groupBy(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
+        x.filter("comp_x <> main_x")
+        .join(y, "key")
+        .filter(F.expr("comp_x <> comp_y and (comp_y = main_y or cls_x < cls_y)") & _near("n_x", "n_y", percent) & _may_link(percent))
+        .groupBy(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"))
         .agg(F.count("*").alias("has"), F.max(F.greatest("need_x", "need_y")).alias("asked"))
         .filter("has >= asked")
     )
