@@ -2,9 +2,10 @@
 
 A rolling (Rabin-Karp) hash over 48 bytes cuts each text where the content
 says so; the cut moves on to the next character start. Chunks that stand in
-several documents are encoded once, by the document with the smallest id (its
-owner), and their ids travel to the others. A text that stands as a whole in
-several documents is one chunk: only its owner's result travels.
+several texts are encoded once, by the text with the smallest name (its owner;
+a name is a 128-bit hash), and their ids travel to the others. A text that
+stands as a whole in several documents is encoded once: its result goes to
+every row that holds it. Work is keyed by texts; ids only label the rows.
 
 Chunks are encoded without their surroundings, so joins are repaired: the text
 between the nearest places before and after a cut where a word certainly ends
@@ -14,8 +15,9 @@ joined is therefore exactly what encoding the whole text gives.
 
 Edge cases: null text counts as empty and gives no ids; special tokens written
 in a text are encoded as the vocabulary file says; very long texts are cut
-like others; texts without any word end are encoded whole; equal texts and
-repeated rows give equal results; an empty table gives no rows; columns other
+like others; texts without any word end are encoded whole; every row gives one
+row, so repeated rows, null ids and one id on several texts each count, and
+equal texts give equal results; an empty table gives no rows; columns other
 than id and text are not read.
 """
 
@@ -191,18 +193,19 @@ def _text(cell) -> bytes:
 
 
 def _chunk_rows():
-    """One row per chunk, and one per whole text, with its name."""
-    out = arrow_schema("whole boolean, name binary, id long")
+    """One row per row of the table, with its text's name, and one per chunk of a text of several."""
+    out = arrow_schema("text binary, name binary, id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 raw = _text(raw)
-                rows.append((True, name(b"=" + raw), i))
+                text = name(raw)
+                rows.append((text, None, i))
                 parts = chunks(raw)
                 if len(parts) > 1:
-                    rows += [(False, x, i) for x in {name(p) for p in parts}]
+                    rows += [(text, x, None) for x in {name(p) for p in parts}]
             yield _batch(rows, out)
 
     return run
@@ -214,18 +217,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _packed():
-    out = arrow_schema("id long, packed binary")
+    out = arrow_schema("text binary, packed binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield _batch([(i, pack(_text(t))) for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)], out)
+            texts = map(_text, batch.column(0).cast(pa.binary()).to_pylist())
+            yield _batch([(name(t), pack(t)) for t in texts], out)
 
     return run
 
 
-_DONE = "kind int, id long, name binary, ids binary, packed binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_DONE = "kind int, text binary, name binary, ids binary, packed binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _result(ids: list[int], code: Coder) -> tuple[int, str, str]:
@@ -234,18 +237,18 @@ def _result(ids: list[int], code: Coder) -> tuple[int, str, str]:
 
 
 def _encoded(path: str):
-    """Kind 0: a finished document; 1: a shared chunk's ids, from its owner; 2: a document that waits for such."""
+    """Kind 0: a finished text; 1: a shared chunk's ids, from its owner; 2: a text that waits for such."""
     out = arrow_schema(_DONE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, unpack = coder(path), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows, size = [], 0
-            for i, packed, own, waits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, packed, own, waits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = unpack(packed)
                 size += len(raw)
                 if not own and not waits:
-                    rows.append((0, i, None, None, None, *_result(code.encode(raw.decode()), code)))
+                    rows.append((0, text, None, None, None, *_result(code.encode(raw.decode()), code)))
                 else:
                     own, ends, parts = set(own or ()), cuts(raw), chunks(raw)
                     ids = []
@@ -256,9 +259,9 @@ def _encoded(path: str):
                             own.discard(mine)
                             rows.append((1, None, mine, np.array(ids[-1], np.uint32).tobytes(), None, None, None, None))
                     if waits:
-                        rows.append((2, i, None, None, packed, None, None, None))
+                        rows.append((2, text, None, None, packed, None, None, None))
                     else:
-                        rows.append((0, i, None, None, None, *_result(joined(raw, ends, ids, code), code)))
+                        rows.append((0, text, None, None, None, *_result(joined(raw, ends, ids, code), code)))
                 if size > 4 << 20:
                     yield _batch(rows, out)
                     rows, size = [], 0
@@ -268,17 +271,17 @@ def _encoded(path: str):
 
 
 def _completed(path: str):
-    out = arrow_schema("id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = arrow_schema("text binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, unpack = coder(path), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for k, (i, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for k, (text, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 raw = unpack(packed)
-                got = {x["name"]: np.frombuffer(x["ids"], np.uint32).tolist() for x in batch.column(2)[k].as_py()}
+                got = {x["name"]: np.frombuffer(x["ids"], np.uint32).tolist() for x in batch.column(2)[k].as_py() or ()}
                 ids = [got[x] if (x := name(p)) in got else code.encode(p.decode()) for p in chunks(raw)]
-                rows.append((i, *_result(joined(raw, cuts(raw), ids, code), code)))
+                rows.append((text, *_result(joined(raw, cuts(raw), ids, code), code)))
             yield _batch(rows, out)
 
     return run
@@ -293,28 +296,25 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text")
-    named = texts.mapInArrow(_chunk_rows(), "whole boolean, name binary, id long")
-    owners = stored(named.groupBy("whole", "name").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last"), "owners")
-    marked = named.join(owners.select("whole", "name", "owner"), ["whole", "name"])
+    named = stored(texts.mapInArrow(_chunk_rows(), "text binary, name binary, id long"), "named")
+    parts = named.filter("name is not null").select("text", "name")
+    owners = stored(parts.groupBy("name").agg(F.min("text").alias("owner"), F.max("text").alias("last")).filter("owner < last").select("name", "owner"), "owners")
     marks = stored(
-        marked.groupBy("id").agg(
-            F.max(F.when(F.expr("whole and owner < id"), F.col("owner"))).alias("copy_of"),
-            F.collect_set(F.when(F.expr("not whole and owner = id"), F.col("name"))).alias("own"),
-            F.collect_set(F.when(F.expr("not whole and owner < id"), F.col("name"))).alias("waits"),
+        parts.join(owners, "name").groupBy("text").agg(
+            F.collect_set(F.when(F.expr("owner = text"), F.col("name"))).alias("own"),
+            F.collect_set(F.when(F.expr("owner < text"), F.col("name"))).alias("waits"),
         ),
         "marks",
     )
-    packed = texts.mapInArrow(_packed(), "id long, packed binary").join(marks, "id", "left").filter("copy_of is null")
-    first = stored(packed.select("id", "packed", "own", F.expr("size(waits) > 0").alias("waits")).mapInArrow(_encoded(vocabulary), _DONE), "encoded")
+    # equal names are equal texts, whichever comes first
+    packed = texts.select("text").mapInArrow(_packed(), "text binary, packed binary").groupBy("text").agg(F.first("packed").alias("packed"))
+    first = stored(packed.join(marks, "text", "left").select("text", "packed", "own", F.expr("size(waits) > 0").alias("waits")).mapInArrow(_encoded(vocabulary), _DONE), "encoded")
 
-    wanted = marks.filter("copy_of is null").select("id", F.explode("waits").alias("name"))
+    wanted = marks.select("text", F.explode("waits").alias("name"))
     given = first.filter("kind = 1").select("name", "ids")
-    parts = wanted.join(given, "name").groupBy("id").agg(F.collect_list(F.struct("name", "ids")).alias("parts"))
-    later = first.filter("kind = 2").select("id", "packed").join(parts, "id").mapInArrow(_completed(vocabulary), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    sent = wanted.join(given, "name").groupBy("text").agg(F.collect_list(F.struct("name", "ids")).alias("parts"))
+    later = first.filter("kind = 2").select("text", "packed").join(sent, "text", "left").mapInArrow(_completed(vocabulary), "text binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
     results = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    done = first.filter("kind = 0").select("id", *results).unionByName(later)
-    if not marks.filter("copy_of is not null").isEmpty():
-        done = stored(done, "done")
-        copies = marks.filter("copy_of is not null").select("id", "copy_of")
-        done = done.unionByName(copies.join(done.withColumnRenamed("id", "copy_of"), "copy_of").select("id", *results))
-    return done.select(F.col("id").alias(id_col), *results)
+    done = first.filter("kind = 0").select("text", *results).unionByName(later)
+    rows = named.filter("name is null").select("id", "text")
+    return rows.join(done, "text").select(F.col("id").alias(id_col), *results)

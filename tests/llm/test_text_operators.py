@@ -53,6 +53,33 @@ def test_bpe_equals_the_library(spark, docs):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def _shared():
+    """Two texts of several chunks that share some, and a short one."""
+    r = random.Random(5)
+    common, own = (" ".join(f"w{r.randrange(5000)}" for _ in range(2000)) for _ in range(2))
+    return [common + " " + own, common + " end", "short one"]
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [
+        [(3, 2), (7, 2), (7, 2)],
+        [(3, 2), (3, 2), (7, 2)],
+        [(7, 2), (7, 2)],
+        [(3, 0), (7, 0), (7, 1)],
+        [(3, 1), (7, 1), (7, 0)],
+        [(3, 2), (7, 2), (7, 0), (9, 1)],
+        [(3, 2), (7, 2), (7, 1), (9, 0)],
+        [(None, 0), (None, 0), (None, 1), (4, 1)],
+    ],
+)
+def test_bpe_gives_every_row_its_result(spark, ids):
+    texts, code = _shared(), bpe.coder(vocabulary())
+    assert set(bpe.chunks(texts[0].encode())) & set(bpe.chunks(texts[1].encode()))
+    got = bpe.bpe_round_trip(spark.createDataFrame([(i, texts[t]) for i, t in ids], "doc_id long, text string"), vocabulary()).collect()
+    assert sorted(map(tuple, got), key=lambda x: (x[0] or 0, x[1:])) == sorted(((i, *bpe._result(code.encode(texts[t]), code)) for i, t in ids), key=lambda x: (x[0] or 0, x[1:]))
+
+
 def test_jaccard_components(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(docs).collect()}
     assert got == brute.jaccard_components(corpus())
