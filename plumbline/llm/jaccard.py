@@ -43,7 +43,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import connected_components
 from plumbline.llm.shared import (
     arrow_schema,
     bounded_batches,
@@ -55,6 +54,7 @@ from plumbline.llm.shared import (
     stored,
     window_hashes,
 )
+from plumbline.operators.components import connected_components
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75

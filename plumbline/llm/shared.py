@@ -8,11 +8,6 @@ subtractions, whatever its length.
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.scratch import scratch, stored  # noqa: F401
+
 #: Rows and bytes of one Arrow batch; a batch is what a Python worker holds at once.
 BATCH_ROWS = 1_000
 BATCH_BYTES = 8 << 20
@@ -28,9 +25,6 @@ BATCH_BYTES = 8 << 20
 STEP_BYTES = 1 << 20
 
 
-_local: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,30 +35,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder named in ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, notebooks in local mode) a local folder
-    is made, and removed at exit.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="plumbline-"))
-            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-        root = _local[0]
-    return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here
-    and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = os.path.join(scratch(spark), name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def required(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; others (and clashing names among them) go."""
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))

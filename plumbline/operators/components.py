@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import stored
+from plumbline.sources.scratch import stored
 
 
 def _with_neighbourhood_minimum(edges: DataFrame, node: str, other: str) -> DataFrame:

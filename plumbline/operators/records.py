@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.components import connected_components
+from plumbline.sources.scratch import stored
+
 
 def record_id(fields: list[str]) -> Column:
     """sha256 of the joined fields, nulls as empty ones."""
@@ -41,31 +44,25 @@ def kilometres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return 2 * 6371.0088 * F.asin(F.sqrt(h))
 
 
-def cluster(df: DataFrame, id_col: str, block: Column, fields: dict[str, str], least: float = 90.0, rounds: int = 30) -> DataFrame:
+def cluster(df: DataFrame, id_col: str, block: Column, fields: dict[str, str], least: float = 90.0) -> DataFrame:
     """Clusters of records of one block whose mean field similarity reaches ``least``.
 
     Equal records are one from the start, so that a large group of copies adds
     no pairs; different ones of a block are compared, so the block has to be
-    chosen narrow (where fields have to be equal, it should hold them). Labels
-    (smallest id) then spread until nothing changes. Returns id, cluster_id.
+    chosen narrow (where fields have to be equal, it should hold them). A
+    cluster is a whole connected component, however long its chains, and is
+    named by its smallest id. Every row gives a row; one without an id has a
+    null cluster_id unless it equals a record with one. Returns id, cluster_id.
     """
     names = list(fields)
     grouped = df.groupBy(block.alias("block"), *names).agg(F.min(id_col).alias("rep"))
     a, b = grouped.alias("a"), grouped.alias("b")
     mean = sum((similarity(k, F.col(f"a.{c}"), F.col(f"b.{c}")) for c, k in fields.items()), F.lit(0.0)) / len(fields)
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep"))).filter(mean >= least).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    edges = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).persist()
-    labels = grouped.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-    for _ in range(rounds):
-        offered = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("offer"))
-        new = labels.join(offered, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", "offer").alias("next")).persist()
-        changed = new.filter("next <> label").count()
-        labels = new.select("node", F.col("next").alias("label"))
-        if not changed:
-            break
+    labels = connected_components(stored(pairs, "pairs"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in names]
     joined = df.withColumn("block", block).alias("r").join(grouped.alias("g"), [F.col("r.block").eqNullSafe(F.col("g.block")), *same])
-    return joined.join(labels, F.col("g.rep") == F.col("node")).select(F.col(f"r.{id_col}").alias(id_col), F.col("label").alias("cluster_id"))
+    return joined.join(labels, F.col("g.rep") == F.col("node"), "left").select(F.col(f"r.{id_col}").alias(id_col), F.coalesce("component", "g.rep").alias("cluster_id"))
 
 
 def survivor(df: DataFrame, by: str, column: str) -> DataFrame:

@@ -130,6 +130,14 @@ def test_clusters(spark):
     assert 500 < far < 510
 
 
+def test_clusters_of_a_long_chain(spark):
+    # neighbours differ by one letter of 120 (99.2 %), others by more
+    rows = [(i, "k", "y" * i + "x" * (120 - i)) for i in range(101)] + [(500, "k", "z" * 120), (None, "z", "alone")]
+    df = spark.createDataFrame(rows, "i int, b string, n string")
+    got = {r.i: r.cluster_id for r in records.cluster(df, "i", F.col("b"), {"n": "ShortString"}, 99.0).collect()}
+    assert got == dict.fromkeys(range(101), 0) | {500: 500, None: None}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("i,d,t\n 1 ,02/13/2024, x\nbad,2024-01-02 03:04:05,\n")
     got = files.read_csv(spark, str(tmp_path / "a.csv"), {"i": "int", "d": "timestamp", "t": "string"}).collect()
