@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import LOWER, arrow_schema, bounded_batches, required, span_hashes, steps, stored
 
 TRAINING_ROWS = 20_000
-#: Candidates counted, lexicon voters kept, and in how many toxic texts one has to stand.
-CANDIDATES, LEXICON, SUPPORT = 20_000, 300, 5
+#: Lexicon voters kept (the model's size), and in how many toxic texts one has to stand; all that do are judged.
+LEXICON, SUPPORT = 300, 5
 #: The least log ratio of a lexicon voter's share of toxic and of clean texts: weaker ones make clean texts toxic.
 LEAST_RATIO = 3.0
 PREFIXES = (4, 5, 6, 8)
@@ -80,18 +80,14 @@ def _looked_up(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return hit, place[hit]
 
 
-def _counted(candidates):
+def _counted():
     """(feature, class, texts): in how many texts a feature stands, pre-aggregated in each task's pieces."""
     out = arrow_schema("feature long, toxic int, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if candidates is None else candidates.value
         for batch in batches:
             for labels, raw in steps(batch.column(0).to_pylist(), batch.column(1)):
                 owner, hashes, _, _ = features(raw)
-                if wanted is not None:
-                    hit, _ = _looked_up(wanted, hashes)
-                    owner, hashes = owner[hit], hashes[hit]
                 order = np.lexsort((owner, hashes))
                 owner, hashes = owner[order], hashes[order]
                 once = np.ones(len(owner), bool)
@@ -239,13 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.uint64), None, n.get(1, 0) / total if total else 0.0)
 
     schema = "feature long, toxic int, n long"
-    often = (
-        rows.filter("toxic = 1").mapInArrow(_counted(None), schema).filter("toxic = 1")
-        .groupBy("feature").agg(F.sum("n").alias("p")).filter(F.col("p") >= min(SUPPORT, max(1, n[1] // 4)))
-        .orderBy(F.desc("p"), "feature").limit(CANDIDATES)
-    )
-    candidates = np.sort(np.array([r.feature for r in often.collect()], np.int64).view(np.uint64))
-    counted = rows.mapInArrow(_counted(spark.sparkContext.broadcast(candidates)), schema).groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("c"))
+    counted = rows.mapInArrow(_counted(), schema).groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("c")).filter(F.col("p") >= min(SUPPORT, max(1, n[1] // 4)))
     weight = F.log((F.col("p") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
     best = counted.withColumn("w", weight).filter(F.col("w") > LEAST_RATIO).orderBy(F.desc(F.col("w") * F.sqrt("p")), "feature").limit(LEXICON)
     lexicon = np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))

@@ -116,6 +116,14 @@ def test_toxicity_learns_and_handles_edges(spark, docs):
     assert {x.score for x in toxicity.toxicity(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_judges_rare_words_among_many_common_ones(spark):
+    common = " ".join(f"{i:05d}" for i in range(21_000))
+    rows = [(i, common + (" vile" if i % 2 and i > 8 else ""), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels).lexicon) == 1
+
+
 @pytest.mark.parametrize("run", [lambda d: bpe.bpe_round_trip(d, vocabulary()), jaccard.ngram_jaccard_join, substring.substring_dedup])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
