@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.scratch import stored
+from plumbline.sources.scratch import Workspace, stored
 
 
 def _with_neighbourhood_minimum(edges: DataFrame, node: str, other: str) -> DataFrame:
@@ -28,9 +28,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a number of rounds logarithmic in the number of nodes; only a count and a
     checksum come to the driver.
     """
+    with Workspace(edges.sparkSession) as space:
+        return stored(_settled(edges, max_rounds, space), "components")
+
+
+def _settled(edges: DataFrame, max_rounds: int, space: Workspace) -> DataFrame:
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     before = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             _with_neighbourhood_minimum(both, "u", "v")
@@ -48,7 +53,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        pairs = stored(small, "edges")
+        pairs = space.stored(small, f"edges{turn}")
+        space.free(f"edges{turn - 1}")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
