@@ -17,6 +17,8 @@ moving payloads.
 
 Edge cases: null html counts as an empty payload; null or odd URLs are written
 as percent-encoded names; rows that repeat the response's id are responses too;
+rows without an id revisit the response of their payload, and are responses
+themselves where no row of the payload has an id;
 empty tables give no archives; payloads may hold anything, blank lines and
 lines like record headers included; columns other than id, url and html are
 not read.
@@ -35,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import arrow_schema, bounded_batches, required, scratch, stored
+from plumbline.llm.shared import arrow_schema, bounded_batches, required, stored
+from plumbline.sources.scratch import Workspace
 
 ARCHIVE_BYTES = 4 << 20
 #: Payloads of fewer bytes are never deduplicated.
@@ -57,8 +60,16 @@ def digest(raw: bytes) -> str:
 # ---------------------------------------------------------------- ARC
 
 
-def _http(page_id: int, payload: bytes) -> bytes:
-    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n" % (page_id, len(payload)) + payload
+def _named(page_id: int | None) -> str:
+    return "-" if page_id is None else str(page_id)
+
+
+def _id(name: str) -> int | None:
+    return None if name == "-" else int(name)
+
+
+def _http(page_id: int | None, payload: bytes) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %s\r\nContent-Length: %d\r\n\r\n" % (_named(page_id).encode(), len(payload)) + payload
 
 
 def arc_head(version: int, name: str) -> bytes:
@@ -147,7 +158,7 @@ def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), i
 # ---------------------------------------------------------------- WARC
 
 
-def warc_record(kind: str, uri: str, date: str, ident: str, payload: bytes, block: bytes, page_id: int, refers: tuple[int, str, str] | None) -> bytes:
+def warc_record(kind: str, uri: str, date: str, ident: str, payload: bytes, block: bytes, page_id: int | None, refers: tuple[int, str, str] | None) -> bytes:
     """One record; a revisit keeps the HTTP header only and names the response."""
     lines = [
         "WARC/1.1",
@@ -157,7 +168,7 @@ def warc_record(kind: str, uri: str, date: str, ident: str, payload: bytes, bloc
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
-        f"X-Page-Id: {page_id}",
+        f"X-Page-Id: {_named(page_id)}",
     ]
     if refers:
         block = block[: len(block) - len(payload)]
@@ -171,7 +182,7 @@ def warc_record(kind: str, uri: str, date: str, ident: str, payload: bytes, bloc
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(uri: str, date: str, payload_digest: str, page_id: int) -> str:
+def record_id(uri: str, date: str, payload_digest: str, page_id: int | None) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{uri} {date} {payload_digest} {page_id}"))
 
 
@@ -206,7 +217,7 @@ def _indexed():
                 rows = []
                 for at, head, block in arc_records(gzip.decompress(content.as_py())):
                     http, payload = _payload(block)
-                    rows.append((path, at, int(http["x-page-id"]), len(payload), digest(payload), head["URL"], head["Archive-date"]))
+                    rows.append((path, at, _id(http["x-page-id"]), len(payload), digest(payload), head["URL"], head["Archive-date"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
     return run
@@ -222,7 +233,7 @@ def _converted():
                 parts = []
                 for at, head, block in arc_records(gzip.decompress(content.as_py())):
                     http, payload = _payload(block)
-                    page = int(http["x-page-id"])
+                    page = _id(http["x-page-id"])
                     ident = record_id(head["URL"], head["Archive-date"], digest(payload), page)
                     parts.append(warc_record("revisit" if at in refers else "response", head["URL"], head["Archive-date"], ident, payload, block, page, refers.get(at)))
                 if parts:  # a task without pages leaves an archive without records
@@ -233,9 +244,13 @@ def _converted():
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Convert all archives below ``arc_path``; one WARC file for each."""
-    index = stored(_files(spark, arc_path).mapInArrow(_indexed(), _INDEX), "index")
-    first = index.filter(F.col("payload_bytes") >= LEAST_DEDUPED).groupBy("digest").agg(F.min(F.struct("page_id", "uri", "date")).alias("r"), F.count("*").alias("n")).filter("n > 1").select("digest", "r")
-    again = index.join(first, "digest").filter("page_id > r.page_id")
+    with Workspace(spark) as space:
+        _convert(spark, arc_path, warc_path, space.stored(_files(spark, arc_path).mapInArrow(_indexed(), _INDEX), "index"))
+
+
+def _convert(spark: SparkSession, arc_path: str, warc_path: str, index: DataFrame) -> None:
+    first = index.filter((F.col("payload_bytes") >= LEAST_DEDUPED) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "uri", "date")).alias("r")).select("digest", "r")
+    again = index.join(first, "digest").filter("page_id is null or page_id > r.page_id")
     # one row per archive: as many as an archive has records, at most
     revisits = again.groupBy("path").agg(F.collect_list(F.struct("at", F.col("r.page_id").alias("page"), F.col("r.uri").alias("uri"), F.col("r.date").alias("date"), "digest")).alias("revisits"))
     rows = _files(spark, arc_path).join(revisits, "path", "left").select("content", "revisits").mapInArrow(_converted(), "value string")
@@ -256,7 +271,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "response" and (digest(payload) != named or len(payload) != int(head["x-payload-length"])):
                         raise ValueError(f"payload of {head['warc-record-id']} is damaged")
                     refers = head.get("x-refers-to-page")
-                    rows.append((int(head["x-page-id"]), int(head["x-payload-length"]), named, kind, int(refers) if refers else None))
+                    rows.append((_id(head["x-page-id"]), int(head["x-payload-length"]), named, kind, int(refers) if refers else None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
     return _files(spark, path).select("content").mapInArrow(run, _READ)
@@ -266,7 +281,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC records read back."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    root = scratch(spark)
-    write_arc(pages, f"{root}/arc", id_col=id_col)
-    arc_to_warc(spark, f"{root}/arc", f"{root}/warc")
-    return read_warc(spark, f"{root}/warc").withColumnRenamed("page_id", id_col)
+    with Workspace(spark) as space:
+        arc, warc = space.folder("arc"), space.folder("warc")
+        write_arc(pages, arc, id_col=id_col)
+        arc_to_warc(spark, arc, warc)
+        return stored(read_warc(spark, warc), "records").withColumnRenamed("page_id", id_col)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import _BYTE, arrow_schema, bounded_batches, mix, powers, required, stored
+from plumbline.sources.scratch import Workspace
 
 #: Pre-tokens of byte-level BPE: the published pattern of the vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -293,13 +294,20 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     Returns id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and
     decoded_sha256 (of the decoded text).
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text")
-    named = stored(texts.mapInArrow(_chunk_rows(), "text binary, name binary, id long"), "named")
+    with Workspace(docs.sparkSession) as space:
+        return stored(_results(texts, vocabulary, space), "encoded").withColumnRenamed("id", id_col)
+
+
+_RESULT = "text binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _results(texts: DataFrame, vocabulary: str, space: Workspace) -> DataFrame:
+    named = space.stored(texts.mapInArrow(_chunk_rows(), "text binary, name binary, id long"), "named")
     parts = named.filter("name is not null").select("text", "name")
-    owners = stored(parts.groupBy("name").agg(F.min("text").alias("owner"), F.max("text").alias("last")).filter("owner < last").select("name", "owner"), "owners")
-    marks = stored(
+    owners = parts.groupBy("name").agg(F.min("text").alias("owner"), F.max("text").alias("last")).filter("owner < last").select("name", "owner")
+    marks = space.stored(
         parts.join(owners, "name").groupBy("text").agg(
             F.collect_set(F.when(F.expr("owner = text"), F.col("name"))).alias("own"),
             F.collect_set(F.when(F.expr("owner < text"), F.col("name"))).alias("waits"),
@@ -308,13 +316,13 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     )
     # equal names are equal texts, whichever comes first
     packed = texts.select("text").mapInArrow(_packed(), "text binary, packed binary").groupBy("text").agg(F.first("packed").alias("packed"))
-    first = stored(packed.join(marks, "text", "left").select("text", "packed", "own", F.expr("size(waits) > 0").alias("waits")).mapInArrow(_encoded(vocabulary), _DONE), "encoded")
+    first = space.stored(packed.join(marks, "text", "left").select("text", "packed", "own", F.expr("size(waits) > 0").alias("waits")).mapInArrow(_encoded(vocabulary), _DONE), "encoded")
+    space.drop_shuffles()
 
     wanted = marks.select("text", F.explode("waits").alias("name"))
     given = first.filter("kind = 1").select("name", "ids")
     sent = wanted.join(given, "name").groupBy("text").agg(F.collect_list(F.struct("name", "ids")).alias("parts"))
-    later = first.filter("kind = 2").select("text", "packed").join(sent, "text", "left").mapInArrow(_completed(vocabulary), "text binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    later = first.filter("kind = 2").select("text", "packed").join(sent, "text", "left").mapInArrow(_completed(vocabulary), _RESULT)
     results = ["n_tokens", "ids_sha256", "decoded_sha256"]
     done = first.filter("kind = 0").select("text", *results).unionByName(later)
-    rows = named.filter("name is null").select("id", "text")
-    return rows.join(done, "text").select(F.col("id").alias(id_col), *results)
+    return named.filter("name is null").select("id", "text").join(done, "text").select("id", *results)

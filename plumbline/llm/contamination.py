@@ -1,18 +1,24 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are partitioned by the size of their shingle sets. Every item is
-represented by its smallest hashes (a bottom-k MinHash sketch); k follows from
-the size, ``n - ceil(n * percent / 100) + 1``, so a document that contains
-``percent`` of an item, however long it is, contains a hash of the sketch.
-Sketch hits are verified by exact containment of the item's shingles.
+Test items are partitioned by the size of their shingle sets (powers of two).
+Every item is represented by its smallest hashes (a bottom-k MinHash sketch);
+k follows from its size n: the ``n - ceil(n * percent / 100)`` shingles that a
+containing document may lack, and as many more as the partition asks hits for.
+So a document that contains ``percent`` of an item, however long it is, has at
+least that many hashes of the sketch. A document is held against a partition
+only if it is large enough for its least item; what has the hits is verified
+by exact containment of the item's shingles.
 
 Documents are scanned, never shuffled. Items go to the tasks in blocks of at
-most BLOCK_SHINGLES hashes (8 bytes each), one scan a block, so a broadcast has
-a fixed bound whatever the number of items.
+most BLOCK_SHINGLES hashes (8 bytes each), one scan a block and one block at a
+time, so driver and executors hold one block whatever the number of items.
+What matches, and the rows' ids and text hashes, meet in one join, whether
+there is one block or many.
 
 Edge cases: null text counts as empty; an item without words is in no document;
 an item of fewer than ``k`` words is one shingle of all its words, sought as
-such; repeated documents and items each count (an item id once a document);
+such; items without an id are not sought; an item id counts once a document;
+every row gives a row, also where ids repeat, have several texts or are null;
 empty tables give no matches; columns other than ids and texts are not read.
 """
 
@@ -26,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import arrow_schema, bounded_batches, hashed_words, required, steps, window_hashes
+from plumbline.llm.shared import arrow_schema, bounded_batches, hash_of_text, hashed_words, required, steps, stored, window_hashes
+from plumbline.sources.scratch import Workspace
 
 SHINGLE = 5
 CONTAINED_PERCENT = 75
@@ -50,67 +57,82 @@ def _item_sets(k: int):
     return run
 
 
+class Partition:
+    """Items of one shingle width and one power of two of set sizes: the sketches' hashes in one sorted table."""
+
+    def __init__(self, width: int, power: int, sets: list[tuple[int, np.ndarray]], percent: int):
+        self.width = width
+        self.hits = 1 + (1 << power) // 16
+        self.least = min(-(-len(x) * percent // 100) for _, x in sets)
+        keys, owners, asked = [], [], {}
+        for i, x in sets:
+            lacking = len(x) - -(-len(x) * percent // 100)
+            sketch = min(len(x), lacking + self.hits)
+            asked[i] = sketch - lacking
+            keys.append(x[:sketch])
+            owners.append(np.full(sketch, i))
+        self.asked = asked
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        self.key, self.owner = key[order], owner[order]
+
+    def candidates(self, doc: np.ndarray, shingle: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) with hits enough; ``doc`` and ``shingle`` hold each document's distinct shingles."""
+        left = np.minimum(np.searchsorted(self.key, shingle), len(self.key) - 1)
+        hit = np.flatnonzero(self.key[left] == shingle)
+        if not len(hit):
+            return []
+        count = np.searchsorted(self.key, shingle[hit], "right") - left[hit]
+        at = np.repeat(left[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        pairs, found = np.unique(np.column_stack((np.repeat(doc[hit], count), self.owner[at])), axis=0, return_counts=True)
+        return [(d, i) for (d, i), n in zip(pairs.tolist(), found.tolist(), strict=True) if n >= self.asked[i]]
+
+
 class Items:
-    """One block of items, partitioned by size, with the sketches' hashes in one sorted table for each shingle width."""
+    """One block of items in their partitions."""
 
     def __init__(self, rows: list[tuple[int, int, list[int]]], percent: int):
         self.percent = percent
         self.ids = [r[0] for r in rows]
         self.sets = [np.sort(np.array(r[2], np.int64).view(np.uint64)) for r in rows]
-        partitions: dict[tuple[int, int], list[int]] = defaultdict(list)
+        members: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
         for i, (_, width, _) in enumerate(rows):
-            partitions[width, len(self.sets[i])].append(i)
-        keys: dict[int, list[np.ndarray]] = defaultdict(list)
-        owners: dict[int, list[np.ndarray]] = defaultdict(list)
-        for (width, n), members in partitions.items():
-            sketch = n - -(-n * percent // 100) + 1
-            for i in members:
-                keys[width].append(self.sets[i][:sketch])
-                owners[width].append(np.full(sketch, i))
-        self.tables = {}
-        for width in keys:
-            key, owner = np.concatenate(keys[width]), np.concatenate(owners[width])
-            order = np.argsort(key, kind="stable")
-            self.tables[width] = (key[order], owner[order])
+            members[width, len(self.sets[i]).bit_length() - 1].append((i, self.sets[i]))
+        self.partitions: dict[int, list[Partition]] = defaultdict(list)
+        for (width, power), sets in sorted(members.items(), key=lambda x: x[0]):
+            self.partitions[width].append(Partition(width, power, sets, percent))
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
         """Document index and item id of each containment."""
         found = []
-        for width, (key, owner) in self.tables.items():
-            shingles = window_hashes(words, width)
-            if not len(shingles):
-                continue
-            doc = np.searchsorted(at, np.arange(len(shingles)), "right") - 1
-            inside = np.arange(len(shingles)) + width <= at[doc + 1]
-            left = np.minimum(np.searchsorted(key, shingles), len(key) - 1)
-            hit = np.flatnonzero(inside & (key[left] == shingles))
-            pairs = set()
-            for h in hit.tolist():
-                for r in range(int(left[h]), int(np.searchsorted(key, shingles[h], "right"))):
-                    pairs.add((int(doc[h]), int(owner[r])))
-            own: dict[int, np.ndarray] = {}
-            for d, i in sorted(pairs):
-                if d not in own:
-                    own[d] = np.unique(shingles[at[d] : at[d + 1] - width + 1])
-                tokens = self.sets[i]
-                place = np.minimum(np.searchsorted(own[d], tokens), len(own[d]) - 1)
-                if 100 * int((own[d][place] == tokens).sum()) >= self.percent * len(tokens):
-                    found.append((d, self.ids[i]))
+        for width, partitions in self.partitions.items():
+            own = [np.unique(window_hashes(words[lo:hi], width)) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+            size = np.array([len(x) for x in own])
+            for p in partitions:
+                large = np.flatnonzero(size >= p.least)
+                if not len(large):
+                    continue
+                doc = np.repeat(large, size[large])
+                for d, i in p.candidates(doc, np.concatenate([own[x] for x in large])):
+                    tokens = self.sets[i]
+                    place = np.minimum(np.searchsorted(own[d], tokens), len(own[d]) - 1)
+                    if 100 * int((own[d][place] == tokens).sum()) >= self.percent * len(tokens):
+                        found.append((d, self.ids[i]))
         return found
 
 
+_MATCHES = "id long, h long, item long"
+
+
 def _matched(items):
-    out = arrow_schema("id long, items array<long>")
+    out = arrow_schema(_MATCHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Items = items.value
         for batch in batches:
-            for ids, raw in steps(batch.column(0).to_pylist(), batch.column(1)):
+            for own, raw in steps(list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), batch.column(1)):
                 words, at = hashed_words(raw, lower=True)
-                lists: list[set[int]] = [set() for _ in ids]
-                for d, item in block.matches(words, at):
-                    lists[d].add(item)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([sorted(x) for x in lists], out.field(1).type)], schema=out)
+                rows = [(*own[d], item) for d, item in items.value.matches(words, at)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
     return run
 
@@ -123,26 +145,30 @@ def _blocks(rows) -> Iterator[list[tuple[int, int, list[int]]]]:
             block, held = [], 0
         block.append((r.item, r.width, r.tokens))
         held += len(r.tokens)
-    yield block
+    if block:
+        yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE, percent: int = CONTAINED_PERCENT) -> DataFrame:
-    """The items that each document contains: id, contaminated, n_items, item_ids (sorted, joined by commas)."""
+    """The items that each document contains: id, text_hash (with the id it tells rows apart),
+    contaminated, n_items, item_ids (sorted, joined by commas)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text")
-    items = required(benchmark, **{item_col: "long", item_text_col: "string"}).toDF("id", "text")
+    texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text").withColumn("h", hash_of_text("text"))
+    items = required(benchmark, **{item_col: "long", item_text_col: "string"}).toDF("id", "text").filter("id is not null")
     sets = items.mapInArrow(_item_sets(k), "item long, width int, tokens array<long>")
-    scans = []
-    for block in _blocks(sets.toLocalIterator()):
-        scans.append(texts.mapInArrow(_matched(spark.sparkContext.broadcast(Items(block, percent))), "id long, items array<long>"))
-    found = scans[0]
-    if len(scans) > 1:
-        for scan in scans[1:]:
-            found = found.unionByName(scan)
-        found = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select(
-        F.col("id").alias(id_col),
+    with Workspace(spark) as space:
+        found = spark.createDataFrame([], _MATCHES)
+        for i, block in enumerate(_blocks(sets.toLocalIterator())):
+            sent = spark.sparkContext.broadcast(Items(block, percent))
+            found = found.unionByName(space.stored(texts.select("id", "text", "h").mapInArrow(_matched(sent), _MATCHES), f"block{i}"))
+            sent.destroy()
+        matches = stored(found.groupBy("id", "h").agg(F.array_sort(F.collect_set("item")).alias("items")), "matches")
+    rows, m = texts.select("id", "h").alias("r"), matches.alias("m")
+    both = rows.join(m, F.expr("r.h = m.h and r.id <=> m.id"), "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
+    return both.select(
+        F.col("r.id").alias(id_col),
+        F.col("r.h").alias("text_hash"),
         (F.size("items") > 0).alias("contaminated"),
         F.size("items").cast("long").alias("n_items"),
         F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("item_ids"),

@@ -316,13 +316,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Link documents whose sets of k-word shingles have a Jaccard similarity of ``percent`` or more.
 
     Returns per row of ``docs``: id, n_shingles (size of the set), component_id
-    (the smallest id that links reach, itself included).
+    (the smallest id that links reach, itself included) and text_hash (with the
+    id it tells rows apart).
     """
     bounded_batches(docs.sparkSession)
     texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text").withColumn("h", hash_of_text("text"))
     with Workspace(docs.sparkSession) as space:
         found = stored(_grouped(texts, k, percent, space), "components")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("h").alias("text_hash"))
 
 
 def _grouped(texts: DataFrame, k: int, percent: int, space: Workspace) -> DataFrame:
@@ -387,9 +388,9 @@ def _grouped(texts: DataFrame, k: int, percent: int, space: Workspace) -> DataFr
     links = tried.unionByName(space.stored(_verified(rest, sets, percent), "checked")).filter("linked")
 
     comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cls")
-    rooted = members.filter("n > 0").join(comps, "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("root"))
+    rooted = members.filter("n > 0").join(comps, "cls", "left").select("id", "h", "n", F.coalesce("component", "cls").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(roots, "root").select("id", "n", "component_id").unionByName(members.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return rooted.join(roots, "root").select("id", "h", "n", "component_id").unionByName(members.filter("n = 0").select("id", "h", "n", F.col("id").alias("component_id")))
 
 
 def _common_tokens(profile: DataFrame):

@@ -8,8 +8,11 @@ symbol followed by a right one makes a pair. Every symbol carries the interval
 of words that its making depends on (its certificate), so equal windows hold
 equal interior symbols, wherever they stand. A window is represented by the
 highest symbol whose certificate lies inside it (of several by that with the
-least name); windows in a row with one representative make a block. Spark then
-works on blocks, keyed by their symbols:
+least name); windows in a row with one representative make a block, and so do
+the windows of one word only that stand in a row. Naming by hash gives what
+naming by a global table would give, the same name to the same pair everywhere,
+so that the rounds of one text need no exchange. Spark then works on blocks,
+keyed by their symbols:
 
 1. keys that stand in one document only leave (aggregated before the shuffle);
 2. blocks equal to a block of a smaller document mark all their windows;
@@ -18,9 +21,10 @@ works on blocks, keyed by their symbols:
 
 Edge cases: null text has no words; texts with fewer than ``width`` words lose
 nothing; repeats inside one document stay; equal texts are judged by id; rows
-with an id seen before count as the same document; an empty table gives no
-rows; columns other than id and text are not read. Windows are compared by 128
-bits.
+of one id are one document, whether they repeat a text or have others, and each
+of them gives a row; rows without an id lose nothing and no row loses anything
+to them; an empty table gives no rows; columns other than id and text are not
+read. Windows are compared by 128 bits.
 """
 
 from __future__ import annotations
@@ -33,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import arrow_schema, bounded_batches, hashed_words, mix, range_hashes, required, signed, steps, stored
+from plumbline.llm.shared import arrow_schema, bounded_batches, hash_of_text, hashed_words, mix, range_hashes, required, signed, steps, stored
+from plumbline.sources.scratch import Workspace
 
 WIDTH = 50
 _U = np.uint64
 _MOST_ROUNDS = 40
-_ANCHORS = "key long, block long, id long, first int, last int"
-_WINDOWS = "key long, win long, id long, at int"
-_KEPT = "id long, n_words long, n_removed long, kept string"
+#: ``h`` is the hash of the text: with the id it tells rows apart.
+_ANCHORS = "key long, block long, id long, h long, first int, last int"
+_WINDOWS = "key long, win long, id long, h long, at int"
+_KEPT = "id long, h long, n_words long, n_removed long, kept string"
 
 
 def _runs(sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +106,11 @@ def blocks(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, .
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     open_ = doc[:count] == doc[width - 1 :] if count else np.zeros(0, bool)
     key, place = np.zeros(count, np.uint64), np.full(count, -1, np.int64)
+    # windows of one word only: those of a run are all the same
+    change = np.concatenate(([0], np.cumsum(words[1:] != words[:-1]))) if n else np.zeros(0, np.int64)
+    run = open_ & (change[:count] == change[width - 1 :]) if count else open_
+    key[run], place[run] = mix(words[:count][run] ^ _U(0xC2B2AE3D27D4EB4F)), change[:count][run]
+    open_ &= ~run
     for sym, lo, hi in list(levels(words, at, width))[::-1] if open_.any() else ():
         left = np.concatenate(([0], np.cumsum(open_)))
         if not left[-1]:
@@ -115,12 +126,12 @@ def blocks(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, .
         key[start], place[start] = sym[who], lo[who]
         open_[start] = False
     cut = np.ones(count, bool)
-    cut[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+    cut[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (doc[1:count] != doc[: max(count - 1, 0)])
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], count)
     real = place[begin] >= 0
     begin, end = begin[real], end[real]
-    content = mix(range_hashes(words, begin, end - 1 + width) + (place[begin] - begin).astype(np.uint64) * _U(0x9E3779B1))
+    content = np.where(run[begin], mix(key[begin]), mix(range_hashes(words, begin, end - 1 + width) + (place[begin] - begin).astype(np.uint64) * _U(0x9E3779B1)))
     base = at[doc[begin]]
     return doc[begin], key[begin], content, begin - base, end - 1 - base
 
@@ -130,10 +141,10 @@ def _anchor_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, raw in steps(batch.column(0).to_pylist(), batch.column(1)):
+            for own, raw in steps(list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), batch.column(1)):
                 words, at = hashed_words(raw, lower=False)
                 doc, key, content, first, last = blocks(words, at, width)
-                rows = [signed(key), signed(content), np.array(ids, np.int64)[doc], first, last]
+                rows = [signed(key), signed(content), *np.array(own, np.int64)[doc].T, first, last]
                 yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(rows, out, strict=True)], schema=out)
 
     return run
@@ -145,9 +156,9 @@ def _window_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2)
+            wanted = batch.column(3)
             k = 0
-            for ids, raw in steps(batch.column(0).to_pylist(), batch.column(1)):
+            for ids, raw in steps(list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), batch.column(1)):
                 words, at = hashed_words(raw, lower=False)
                 keys, starts, own = [], [], []
                 for i in range(len(ids)):
@@ -161,7 +172,7 @@ def _window_rows(width: int):
                     continue
                 start, doc = np.concatenate(starts), np.concatenate(own)
                 win = range_hashes(words, start, start + width, seed=7)
-                rows = [np.concatenate(keys), signed(win), np.array(ids, np.int64)[doc], start - at[doc]]
+                rows = [np.concatenate(keys), signed(win), *np.array(ids, np.int64)[doc].T, start - at[doc]]
                 yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(rows, out, strict=True)], schema=out)
 
     return run
@@ -173,7 +184,7 @@ def _kept_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, raw, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+            for i, raw, h, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = (raw or b"").split()
                 n = len(words)
                 marks = marks.as_py() or []
@@ -183,7 +194,7 @@ def _kept_rows(width: int):
                     np.add.at(step, [m["last"] + width for m in marks], -1)
                     keep = np.cumsum(step)[:n] == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                rows.append((i, n, n - len(words), b" ".join(words).decode()))
+                rows.append((i, h, n, n - len(words), b" ".join(words).decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)] if rows else [pa.array([], f.type) for f in out], schema=out)
 
     return run
@@ -192,40 +203,45 @@ def _kept_rows(width: int):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Remove words covered by a window of ``width`` words that also starts in a document with a smaller id.
 
-    Returns id, n_words, n_removed and kept (the remaining words joined by one space).
+    Returns id, text_hash (of the text that came in: with the id it tells rows apart),
+    n_words, n_removed and kept (the remaining words joined by one space).
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text")
-    found = texts.mapInArrow(_anchor_rows(width), _ANCHORS)
+    bounded_batches(docs.sparkSession)
+    texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text").withColumn("h", hash_of_text("text"))
+    with Workspace(docs.sparkSession) as space:
+        marks = stored(_marks(texts.filter("id is not null"), width, space), "marks")
+    return (
+        texts.join(marks, ["id", "h"], "left")
+        .select("id", "text", "h", "marks")
+        .mapInArrow(_kept_rows(width), _KEPT)
+        .withColumnsRenamed({"id": id_col, "h": "text_hash"})
+    )
+
 
+def _marks(texts: DataFrame, width: int, space: Workspace) -> DataFrame:
+    """Of each row that loses words: the first and last windows that are to go (id, h, marks)."""
+    found = space.stored(texts.mapInArrow(_anchor_rows(width), _ANCHORS), "found")
     # keys of two documents or more, and the occurrences of those
     several = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    shared = stored(found.join(several, "key"), "shared")
-    by_block = shared.groupBy("key", "block").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    by_key = by_block.groupBy("key").agg(F.min("least").alias("key_least"), F.count("*").alias("n_blocks"))
+    shared = space.stored(found.join(several, "key"), "shared")
+    space.free("found")
+    space.drop_shuffles()
+    by_block = space.stored(shared.groupBy("key", "block").agg(F.min(F.struct("id", "h")).alias("least"), F.max("id").alias("most")), "blocks")
     equal = (
-        shared.join(by_block.filter("least < most").select("key", "block", "least"), ["key", "block"])
+        shared.join(by_block.filter("least.id < most").select("key", "block", F.col("least.id").alias("least")), ["key", "block"])
         .filter("id > least")
-        .select("id", "first", "last")
+        .select("id", "h", "first", "last")
     )
 
-    # a smaller document has the key in another block: compare windows, one occurrence a block and document
-    open_keys = by_key.filter("n_blocks > 1").select("key")
-    least = by_block.select("key", F.col("block"), F.col("least").alias("id"))
-    asked = shared.join(open_keys, "key").join(least, ["key", "block", "id"]).select("id", F.struct("key", "first", "last").alias("w"))
-    lists = asked.groupBy("id").agg(F.collect_list("w").alias("wanted"))
-    windows = stored(texts.join(lists, "id").select("id", "text", "wanted").mapInArrow(_window_rows(width), _WINDOWS), "windows")
+    # a smaller document has the key in another block: compare windows, one occurrence a block
+    open_keys = by_block.groupBy("key").count().filter("count > 1").select("key")
+    least = by_block.join(open_keys, "key").select("key", "block", "least.id", "least.h")
+    asked = shared.join(least, ["key", "block", "id", "h"]).select("id", "h", F.struct("key", "first", "last").alias("w"))
+    lists = asked.groupBy("id", "h").agg(F.collect_set("w").alias("wanted"))
+    windows = space.stored(texts.join(lists, ["id", "h"]).select("id", "text", "h", "wanted").mapInArrow(_window_rows(width), _WINDOWS), "windows")
     by_window = windows.groupBy("key", "win").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "win", "least")
-    single = windows.join(by_window, ["key", "win"]).filter("id > least").select("id", F.col("at").alias("first"), F.col("at").alias("last"))
-
-    marks = equal.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    return (
-        texts.join(marks, "id", "left")
-        .select("id", "text", "marks")
-        .mapInArrow(_kept_rows(width), _KEPT)
-        .withColumnRenamed("id", id_col)
-    )
+    single = windows.join(by_window, ["key", "win"]).filter("id > least").select("id", "h", F.col("at").alias("first"), F.col("at").alias("last"))
+    return equal.unionByName(single).groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
 
 
 def digests(deduped: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def jaccard_components(docs):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def substring_dedup(docs, width=50):
+def substring_kept(docs, width=50):
+    """Words, and those that stay, per document."""
     first = {}
     split = {i: words(t) for i, t in docs}
     for i in sorted(split):
@@ -55,11 +56,18 @@ def substring_dedup(docs, width=50):
         for p in range(len(w) - width + 1):
             if first[tuple(w[p : p + width])] < i:
                 gone[p : p + width] = [True] * width
-        kept = [x for x, g in zip(w, gone) if not g]
-        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+        out[i] = w, [x for x, g in zip(w, gone) if not g]
     return out
 
 
+def substring_texts(docs):
+    return {i: " ".join(kept) for i, (_, kept) in substring_kept(docs).items()}
+
+
+def substring_dedup(docs):
+    return {i: (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, (w, kept) in substring_kept(docs).items()}
+
+
 def contained(docs, items, percent=75, k=5):
     out = {}
     for i, text in docs:
