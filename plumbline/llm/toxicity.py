@@ -26,7 +26,6 @@ columns other than id, text and label are not read, and id only splits.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,8 +48,10 @@ PREFIXES = (4, 5, 6, 8)
 TOXIC_FROM = 0.7
 #: So many votes are as likely as not a toxic text's, to begin with.
 MAJORITY = 2.5
-#: Patterns of the writing alone: runs of exclamation marks, masked words, drawn-out letters.
-_MARKS = (re.compile(rb"!{2,}"), re.compile(rb"[A-Za-z][*@#$]+[A-Za-z]"), re.compile(rb"([A-Za-z])\1{2,}"))
+#: Patterns of the writing alone that ``marks`` counts.
+MARKS = 3
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[0x23, 0x24, 0x2A, 0x40]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[0x30:0x3A] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
@@ -112,8 +113,17 @@ def _counted():
 
 
 def marks(raw: list[bytes]) -> np.ndarray:
-    """Per text: runs of exclamation marks, words with symbols inside letters, letters said three times or more."""
-    return np.array([[len(p.findall(t)) for p in _MARKS] for t in raw], float).reshape(len(raw), len(_MARKS))
+    """Per text: runs of exclamation marks, symbols between letters (masked words), letters said three times or more."""
+    data = LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw)))
+    letter = (data >= 0x61) & (data <= 0x7A)
+    edge = np.flatnonzero(np.concatenate(([True], data[1:] != data[:-1])))
+    size = np.diff(np.append(edge, len(data)))
+    shouts, drawn = edge[(data[edge] == 0x21) & (size > 1)], edge[letter[edge] & (size > 2)]
+    symbol = np.diff(np.concatenate(([False], _SYMBOL[data], [False])).astype(np.int8))
+    start, end = np.flatnonzero(symbol == 1), np.flatnonzero(symbol == -1)
+    masked = start[letter[np.maximum(start - 1, 0)] & letter[np.minimum(end, len(data) - 1)]]
+    return np.column_stack([np.bincount(np.searchsorted(ends, at, "right"), minlength=len(raw)) for at in (shouts, masked, drawn)]).astype(float)
 
 
 def vote_counts(raw: list[bytes], lexicon: np.ndarray) -> np.ndarray:
@@ -269,7 +279,7 @@ def _trained(rows: DataFrame) -> Model:
     lexicon = np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))
 
     sample = rows.select("text").mapInArrow(_votes_of(rows.sparkSession.sparkContext.broadcast(lexicon)), _VOTES).collect()
-    counts = np.zeros((len(sample), len(lexicon) + 2 + len(_MARKS)))
+    counts = np.zeros((len(sample), len(lexicon) + 2 + MARKS))
     for i, r in enumerate(sample):
         counts[i, r.at] = r.n
         counts[i, len(lexicon) :] = r.rest

@@ -92,3 +92,8 @@ def test_long_texts(spark):
     assert {r.component_id for r in jaccard.ngram_jaccard_join(frame(spark, [(1, word), (2, "word " * 300)])).collect()} == {1}
     assert len(bpe.bpe_round_trip(frame(spark, [(1, word)]), vocabulary()).collect()) == 1
     assert time.time() - began < 600
+
+
+def test_marks_of_writing():
+    texts = [b"", b"hey!!! no!! ok! aaa bbbb cc f**k a@b@@c $a a$ AAa\nsss", b"s", b"!!"]
+    assert toxicity.marks(texts).tolist() == [[0, 0, 0], [2, 3, 4], [0, 0, 0], [1, 0, 0]]
