@@ -2,9 +2,9 @@
 
 A page's block elements are the nodes of a tree; each is content or not. Node
 potentials are log-linear in local features (tag, words of class and id, share
-of text in links, length, punctuation); parent-child potentials are tables by
-the child's kind of tag. Both are trained from labelled pages: LABELLED has
-them, composed by rule from labelled parts. Sum-product messages go up from the
+of text in links, length, punctuation); parent-child potentials pull a child
+towards its parent, by the child's kind of tag. Both are trained together from
+labelled pages (``labelled_pages`` composes them by rule from labelled parts). Sum-product messages go up from the
 leaves and down from the root and give every node's content marginal, exactly,
 as the graph is a tree. The text of nodes from 0.5 on is the main text.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import arrow_schema, bounded_batches, required
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _DATA = re.compile(r"data-label=\"(\w+)\"")
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "object", "canvas"}
@@ -92,7 +95,7 @@ class Tree:
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("root", 0)]  # open elements, each with its block
         open_count: dict[str, int] = {}
-        at = 0
+        at, last, tag = 0, page.rfind(">"), _TAG
 
         def pop_to(k: int) -> None:
             for t, _ in stack[k:]:
@@ -100,17 +103,28 @@ class Tree:
             del stack[k:]
 
         while at < len(page):
-            m = _MARKUP.search(page, at)
-            stop = m.start() if m else len(page)
+            m = _OPENS.search(page, at)
+            stop = m.start() if m and m.start() < last else len(page)
+            if m and stop == len(page) and page[m.start() + 1] in "!?":
+                stop = m.start()  # an unclosed comment
             if stop > at:
                 text = page[at:stop]
                 self._add(stack[-1][1], html.unescape(text) if "&" in text else text, open_count.get("a", 0) > 0)
-            if not m:
+            if stop == len(page):
                 return
+            if page[stop + 1] in "!?":
+                end = "-->" if page.startswith("<!--", stop) else ">"
+                at = page.find(end, stop + 2)
+                if at < 0:
+                    return
+                at += len(end)
+                continue
+            m = tag.match(page, stop)
+            if not m:  # a quote that nothing closes: from here on tags end at the next bracket
+                tag = _BROKEN
+                m = tag.match(page, stop)
             at = m.end()
             name = m.group(2)
-            if name is None:
-                continue
             name = name.lower()
             if m.group(1):
                 if open_count.get(name):
@@ -179,67 +193,79 @@ def _features(tree: Tree, i: int) -> tuple[int, ...]:
     return _named(tree.tag[i], tree.names[i]) + local
 
 
+def _pulled(field, pull):
+    """What a node with log odds ``field`` sends over an edge: log odds, in (-2 pull, 2 pull)."""
+    return 2 * np.arctanh(np.clip(np.tanh(pull) * np.tanh(field / 2), -1 + 1e-12, 1 - 1e-12))
+
+
 class Model:
-    """Node weights (log odds of content) and parent-child potentials, trained together.
+    """Node weights (log odds of content) and pulls between parent and child, a conditional random field.
 
-    A node's log odds, given its parent, are its features' weights plus or
-    minus the coupling of its kind of tag: one logistic regression with shared
-    parameters. A paragraph thus follows its parent, and features say where
-    content begins or ends on the way down.
+    The score of a labelling is the sum of the content nodes' weights and, for
+    each edge, the pull of the child's kind of tag where the two agree and its
+    negative where they don't. Weights and pulls maximise the likelihood of the
+    labelled pages, which the same messages give: expected minus seen features
+    are the gradient.
     """
 
-    def __init__(self, pages: list[str], ridge: float = 0.003):
-        rows, y = [], []
-        for page in pages:
-            t = Tree(page)
-            state = [0]
-            for i in range(1, len(t.parent)):
-                state.append({"content": 1, "other": 0, None: state[t.parent[i]]}[t.label[i]])
-            x = np.zeros((len(state), _SIZE + 1 + _OTHER + 1))
-            for i in range(1, len(t.parent)):
-                x[i, list(_features(t, i))] = 1
-                x[i, _SIZE + 1 + _KIND.get(t.tag[i], _OTHER)] = 2 * state[t.parent[i]] - 1
-            x[:, _SIZE] = 1
-            rows.append(x[1:])
-            y += state[1:]
-        x, y = np.concatenate(rows), np.array(y, float)
-        w = np.zeros(x.shape[1])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w += np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        self.bias, self.weights = float(w[_SIZE]), w[:_SIZE].tolist()
-        same = np.exp(np.clip(w[_SIZE + 1 :], 0, 12) / 2)
-        self.tables = [((a, 1 / a), (1 / a, a)) for a in same.tolist()]
+    def __init__(self, pages: list[tuple[str, int]], ridge: float = 1.0, turns: int = 600):
+        parents, found, kinds, states, depths = [], [], [], [], []
+        for page, root in pages:
+            t, base = Tree(page), len(parents)
+            for i, p in enumerate(t.parent):
+                parents.append(base + p if i else -1)
+                depths.append(depths[base + p] + 1 if i else 0)
+                found.append(_features(t, i))
+                kinds.append(_KIND.get(t.tag[i], _OTHER))
+                states.append({"content": 1, "other": 0, None: states[base + p] if i else root}[t.label[i]])
+        parent, kind, y = np.array(parents), np.array(kinds), np.array(states, float)
+        x = np.zeros((len(y), _SIZE + 1))
+        for i, own in enumerate(found):
+            x[i, list(own)] = 1
+        x[:, _SIZE] = 1
+        levels = [np.flatnonzero(np.array(depths) == d) for d in range(1, max(depths) + 1)]
+        child = np.flatnonzero(parent >= 0)
+        agree = np.where(y[child] == y[parent[child]], 1.0, -1.0)
+
+        w, pull = np.zeros(_SIZE + 1), np.full(_OTHER + 1, 0.5)
+        moments = [np.zeros((2, len(w))), np.zeros((2, len(pull)))]
+        for turn in range(1, turns + 1):
+            up, sent, c = x @ w, np.zeros(len(y)), pull[kind]
+            for at in levels[::-1]:
+                sent[at] = _pulled(up[at], c[at])
+                np.add.at(up, parent[at], sent[at])
+            belief, rest = up.copy(), np.zeros(len(y))
+            for at in levels:
+                rest[at] = belief[parent[at]] - sent[at]  # the parent's log odds without this child's message
+                belief[at] = up[at] + _pulled(rest[at], c[at])
+            same = self._agreement(rest[child], up[child], c[child])
+            slopes = x.T @ (y - 1 / (1 + np.exp(-np.clip(belief, -40, 40)))) - ridge * w, np.bincount(kind[child], agree - same, minlength=len(pull)) - ridge * pull
+            for value, slope, m in zip((w, pull), slopes, moments, strict=True):  # steps of about equal size (Adam)
+                m[0] = 0.9 * m[0] + 0.1 * slope
+                m[1] = 0.99 * m[1] + 0.01 * slope**2
+                value += 0.05 * (m[0] / (1 - 0.9**turn)) / (np.sqrt(m[1] / (1 - 0.99**turn)) + 1e-8)
+            pull[:] = np.maximum(pull, 0)
+        self.bias, self.weights, self.pulls = float(w[_SIZE]), w[:_SIZE].tolist(), pull.tolist()
+
+    @staticmethod
+    def _agreement(a: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Expected agreement (1 or -1) of two ends with log odds ``a`` and ``u``, pulled by ``c``."""
+        t = np.tanh(a / 2) * np.tanh(u / 2)
+        return (np.tanh(c) + t) / (1 + np.tanh(c) * t)
 
     def marginals(self, tree: Tree) -> list[float]:
-        """P(content) of each node, by sum-product."""
+        """P(content) of each node, by sum-product: messages up from the leaves, then down from the root."""
         n = len(tree.parent)
-        own = [(1.0, 1e-6)]
-        for i in range(1, n):
-            s = self.bias + sum(map(self.weights.__getitem__, _features(tree, i)))
-            p = 1 / (1 + np.exp(-max(-30.0, min(30.0, s))))
-            own.append((1 - p, p))
-        up = [list(x) for x in own]  # the node's potential times messages from its children
-        sent: list[tuple[float, float]] = [(1.0, 1.0)] * n
-        kinds = [_KIND.get(t, _OTHER) for t in tree.tag]
+        up = [self.bias + sum(map(self.weights.__getitem__, _features(tree, i))) for i in range(n)]
+        pulls = [math.tanh(self.pulls[_KIND.get(t, _OTHER)]) for t in tree.tag]
+        sent = [0.0] * n
         for i in range(n - 1, 0, -1):
-            t, (a, b) = self.tables[kinds[i]], up[i]
-            m0, m1 = t[0][0] * a + t[0][1] * b, t[1][0] * a + t[1][1] * b
-            z = m0 + m1
-            sent[i] = (m0 / z, m1 / z)
-            u = up[tree.parent[i]]
-            u[0] *= sent[i][0]
-            u[1] *= sent[i][1]
-            z = u[0] + u[1]
-            u[0], u[1] = max(u[0] / z, 1e-300), max(u[1] / z, 1e-300)
-        belief = [tuple(up[0])]
+            sent[i] = 2 * math.atanh(pulls[i] * math.tanh(up[i] / 2))
+            up[tree.parent[i]] += sent[i]
+        belief = up
         for i in range(1, n):
-            p, (s0, s1), t = belief[tree.parent[i]], sent[i], self.tables[kinds[i]]
-            d0, d1 = p[0] / max(s0, 1e-300), p[1] / max(s1, 1e-300)  # the parent's belief without this child's message
-            b0, b1 = up[i][0] * (d0 * t[0][0] + d1 * t[1][0]), up[i][1] * (d0 * t[0][1] + d1 * t[1][1])
-            z = b0 + b1
-            belief.append((b0 / z, b1 / z))
-        return [b[1] / (b[0] + b[1]) for b in belief]
+            belief[i] += 2 * math.atanh(pulls[i] * math.tanh((belief[tree.parent[i]] - sent[i]) / 2))
+        return [1 / (1 + math.exp(-max(-40.0, min(40.0, b)))) for b in belief]
 
     def text(self, page: str) -> str:
         tree = Tree(page)
@@ -257,8 +283,9 @@ class Model:
 # ---------------------------------------------------------------- labelled pages
 
 
-def labelled_pages() -> list[str]:
-    """Pages composed of labelled parts: with and without semantic tags, each kind of clutter before, inside and after the article."""
+def labelled_pages() -> list[tuple[str, int]]:
+    """Pages composed of labelled parts, each with the label of its root: with and without semantic tags
+    or any wrapper, each kind of clutter before, inside and after the article."""
     prose = "Some words of an article, long enough to be a sentence of its own. It goes on, and ends."
     links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("home", "news", "sport", "about"))
     clutter = [
@@ -285,7 +312,14 @@ def labelled_pages() -> list[str]:
         '<article data-label="content"><p>One</p>@<p>Two</p></article>',
         '<div id="main" data-label="content"><h1>Title</h1><p>One</p><p>Two, then.</p>@</div>',
     ]
-    bare = f'<h1 data-label="content">A title</h1><p data-label="content">{prose}</p><p data-label="content">{prose}</p>'  # no wrapper
+    loose = [  # no wrapper: the page itself is the article
+        f"<h1>A title</h1><p>{prose}</p>@<p>{prose}</p>",
+        f"<p>{prose}</p>@<p>{prose}</p><ul><li>One thing, said at length.</li></ul><p>Short.</p>",
+        f"<h2>A title</h2>{prose}<br>{prose}@<p>{prose}</p>",
+        f"<div><div><h1>A title</h1><p>{prose}</p></div>@<div><p>{prose}</p><p>It</p></div></div>",
+        f"<div><section><p>{prose}</p></section>@<div><p>{prose}</p></div></div>",
+        f"<table><tr><td><h1>A title</h1><p>{prose}</p>@<p>{prose}</p></td></tr></table>",
+    ]
     heads = ['<header data-label="other"><h1>Site</h1><p>The best site, by far.</p></header>', '<div class="header" data-label="other">Site name</div>']
     feet = ['<footer data-label="other"><p>Copyright, all rights reserved, and so on and on.</p></footer>', '<div class="footer" data-label="other">Imprint</div>']
     pages = []
@@ -295,28 +329,28 @@ def labelled_pages() -> list[str]:
         main = body.replace("@", inside)
         if i % 3 == 0:
             main = f'<div class="page">{main}</div>'
-        if i % 11 == 0:
-            main = bare
-        pages.append(f'<html><head data-label="other"></head><body>{heads[i % 2]}{around}{main}{other}{feet[i // 2 % 2]}</body></html>')
-    return pages
+        pages.append((f'<html><head data-label="other"></head><body>{heads[i % 2]}{around}{main}{other}{feet[i // 2 % 2]}</body></html>', 0))
+    for i, (body, c, place) in enumerate(itertools.product(loose, clutter, range(3))):
+        main = body.replace("@", c if place else "")
+        pages.append((f'<html><head data-label="other"></head><body>{heads[i % 2] if place != 1 else ""}{"" if place == 1 else c}{main}{feet[i % 2] if i % 3 else ""}</body></html>', 1))
+    return [*pages, *((x, 1) for x in (prose, f"<p>{prose}</p>", f"{prose}<br>{prose}", "A line", "<p>A line</p>", f"<html><body>{prose}</body></html>"))]
 
 
 @lru_cache(1)
 def trained() -> Model:
-    """The model; the labelled pages are few, so that each worker trains it itself, with the same result."""
+    """The model, trained once a process (on the driver, in a second or two, and sent to the tasks)."""
     return Model(labelled_pages())
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 
-def _extracted():
+def _extracted(model):
     out = arrow_schema(_TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trained()
         for batch in batches:
-            texts = [model.text(x or "") for x in batch.column(2).to_pylist()]
+            texts = [model.value.text(x or "") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=out)
 
     return run
@@ -326,4 +360,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """The main text of every page: id, url, text, n_chars (code points)."""
     bounded_batches(pages.sparkSession)
     rows = required(pages, **{id_col: "long", url_col: "string", html_col: "string"})
-    return rows.mapInArrow(_extracted(), _TEXT).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    return rows.mapInArrow(_extracted(pages.sparkSession.sparkContext.broadcast(trained())), _TEXT).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

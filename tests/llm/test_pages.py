@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 from collections import defaultdict
 
 from plumbline.llm import archives, extraction, url_lists
@@ -67,11 +68,12 @@ def test_marginals_equal_enumeration():
     weight = [0.0] * n
     total = 0.0
     for states in itertools.product((0, 1), repeat=n):
-        p = (1.0, 1e-6)[states[0]]
-        for i in range(1, n):
-            s = model.bias + sum(model.weights[f] for f in extraction._features(tree, i))
-            q = 1 / (1 + math.exp(-s))
-            p *= (q if states[i] else 1 - q) * model.tables[extraction._KIND.get(tree.tag[i], extraction._OTHER)][states[tree.parent[i]]][states[i]]
+        p = 1.0
+        for i in range(n):
+            p *= math.exp(states[i] * (model.bias + sum(model.weights[f] for f in extraction._features(tree, i))))
+            if i:
+                pull = model.pulls[extraction._KIND.get(tree.tag[i], extraction._OTHER)]
+                p *= math.exp(pull if states[i] == states[tree.parent[i]] else -pull)
         total += p
         for i in range(n):
             weight[i] += p * states[i]
@@ -87,3 +89,43 @@ def test_url_lists(spark):
     assert [(i, b) for i, b, _, _ in run(seen, log)] == [(1, False), (2, True), (3, False), (4, True), (5, False), (5, True), (6, False), (7, False), (8, False)]
     assert not any(b for _, b, _, _ in run(seen, []))
     assert run([], log) == []
+
+
+TEXT = "First the river rose, then it fell. Nobody in the town had seen the like of it."
+MORE = "By evening the bridge was open again, and the carts went over it."
+LAYOUTS = [
+    ("{a} {b}", []),
+    ("<p>{a}</p><p>{b}</p>", []),
+    ("<body>{a}<br>{b}</body>", []),
+    ("<html><body><h1>Head line</h1><p>{a}</p><p>{b}</p></body></html>", ["Head line"]),
+    ("<html><body><div><div><p>{a}</p></div><div><p>{b}</p></div></div></body></html>", []),
+    ("<html><body><table><tr><td><p>{a}</p><p>{b}</p></td></tr></table></body></html>", []),
+    ("<body><div id=content><p>{a}</p><p>{b}</p></div></body>", []),
+    ("<body><main><h2>Head line</h2><p>{a}</p><p>{b}</p></main></body>", ["Head line"]),
+    ("<body><div class='post'><p>{a}</p><p>{b}</p></div></body>", []),
+    ("<body><article><section><p>{a}</p></section><section><p>{b}</p></section></article></body>", []),
+]
+CLUTTER = [
+    "",
+    "<nav><ul><li><a href='/'>home</a></li><li><a href='/n'>news</a></li></ul></nav>",
+    "<footer><p>All rights are ours, of course.</p></footer>",
+    "<div class='sidebar'><p>You may also like this, or that.</p></div>",
+    "<script>var a = '<p>no</p>';</script><style>p {{}}</style>",
+    "<div class='comments'><p>What a story, I liked it.</p></div>",
+]
+
+
+def test_layouts():
+    """Ten layouts with six kinds of clutter, text known."""
+    model = extraction.trained()
+    for page, head in LAYOUTS:
+        for clutter in CLUTTER:
+            for html in (page, page.replace("<body>", "<body>" + clutter, 1), page.replace("</body>", clutter + "</body>")):
+                assert model.text(html.replace("{a}", TEXT).replace("{b}", MORE)) == " ".join([*head, TEXT, MORE]), html
+
+
+def test_scanner_is_linear():
+    began = time.time()
+    for page in ("<a " * 350_000, '<a x="' * 170_001, "<!--" * 250_000, "<" * 1_000_000, "<a '>" * 200_000, "&" * 1_000_000, "<b>" * 300_000):
+        extraction.Tree(page)
+    assert time.time() - began < 60
