@@ -62,3 +62,14 @@ def pattern_regex(pattern: str, short: bool) -> str:
     for ch in pattern:
         out.append(signs[ch] + ("+" if short else "") if ch in signs else "\\" + ch if not ch.isalnum() else ch)
     return "^" + "".join(out) + "$"
+
+
+#: Classes of texts by whole-value regular expressions (our own; of the syntax that Java and RE2 share).
+CONTACTS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "phone": r"\+?[0-9][0-9 ()/.-]{5,18}[0-9]",
+    "ip": r"((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])",
+    "url": r"(https?|ftp)://[^ /?#]+([/?#][^ ]*)?",
+    "uuid": r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
+    "name": r"[A-Z][a-z]+( [A-Z]\.)?( [A-Z][a-z]+)+",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import patterns
+from plumbline.operators.health import distinct_counts
 
 TOP = 25
 
@@ -36,11 +37,11 @@ def pattern_distribution(df: DataFrame, column: str, short: bool = True, europea
 
 def profile_strategy(df: DataFrame, columns: list[str], most: int = 10_000, share: float = 25.0) -> DataFrame:
     """Which distribution suits each text column: enum, long_pattern, short_pattern or length."""
-    parts = []
-    one = df.agg(F.count("*").alias("n"), *(F.struct(F.count_distinct(c).alias("d"), F.coalesce(F.max(F.length(c)), F.lit(0)).alias("l"), F.count_distinct(F.length(c)).alias("k")).alias(f"m{i}") for i, c in enumerate(columns)))
-    for i, c in enumerate(columns):
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"m{i}.d").alias("distinct_count"), F.col(f"m{i}.l").cast("long").alias("max_length"), F.col(f"m{i}.k").alias("n_lengths")))
-    rows = one.select(F.inline(F.array(*parts)))
+    one = df.agg(F.count("*").alias("n"), *(F.coalesce(F.max(F.length(c)), F.lit(0)).cast("long").alias(f"l{i}") for i, c in enumerate(columns)))
+    longest = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"l{i}").alias("max_length")) for i, c in enumerate(columns)))))
+    kinds = {c: F.col(f"`{c}`") for c in columns}
+    lengths = distinct_counts(df, {c: F.length(v) for c, v in kinds.items()}).withColumnRenamed("distinct_count", "n_lengths")
+    rows = longest.join(F.broadcast(distinct_counts(df, kinds)), "column_name").join(F.broadcast(lengths), "column_name")
     few = (F.col("distinct_count") > 0) & (F.col("distinct_count") <= most) & (100.0 * F.col("distinct_count") <= share * F.col("n"))
     return rows.select(
         "column_name", "distinct_count", "max_length", "n_lengths",
@@ -58,3 +59,11 @@ def validity(current: DataFrame, previous: DataFrame, low: str | None = None, hi
     if high is not None:
         valid = valid & (F.col("enum_value") <= high)
     return joined.select("enum_value", "value_count", F.col("old").isNull().alias("is_new"), F.coalesce(valid, F.lit(False)).alias("is_valid"))
+
+
+def semantic_counts(df: DataFrame) -> DataFrame:
+    """Per text column: filled values, and how many are e-mail addresses, phone numbers, IPs, URLs, UUIDs or names; one pass."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    whole = {k: f"^(?:{p})$" for k, p in patterns.CONTACTS.items()}
+    one = df.agg(*(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("filled"), *(F.count_if(F.col(f"`{c}`").rlike(p)).alias(k) for k, p in whole.items())).alias(f"m{i}") for i, c in enumerate(texts)))
+    return one.select(F.inline(F.array(*(F.col(f"m{i}") for i in range(len(texts))))))

@@ -24,8 +24,51 @@ def percent_change(history: DataFrame) -> DataFrame:
     """Change against the value before, in percent: 0 if equal, value * 100 after a zero."""
     order = Window.partitionBy("series").orderBy("at", "run_id")
     v, p = F.col("value"), F.col("previous")
-    change = F.when(v == p, F.lit(0.0)).when(p == 0, v * 100).otherwise((v - p) / p * 100)
-    return history.withColumn("previous", F.lag("value").over(order)).withColumn("change", F.round(change, 3))
+    change = F.when(v == p, F.lit(0.0)).when(p == 0, v * 100).otherwise(F.round((v - p) / p * 100, 4))
+    return history.withColumn("previous", F.lag("value").over(order)).withColumn("change", change)
+
+
+def percent_threshold(history: DataFrame) -> DataFrame:
+    """Mean -+ the sample deviation of the percent changes of each series."""
+    grouped = percent_change(history).groupBy("series").agg(F.avg("change").alias("m"), F.stddev_samp("change").alias("s"))
+    return grouped.select("series", F.round(F.col("m") - F.col("s"), 3).alias("lower"), F.round(F.col("m") + F.col("s"), 3).alias("upper"))
+
+
+def deviation_by_series(history: DataFrame, runs: int) -> DataFrame:
+    """Sample deviation of the last ``runs`` values of each series."""
+    return last_runs(history, runs).groupBy("series").agg(F.round(F.stddev_samp("value"), 3).alias("deviation"), F.count("value").alias("runs"))
+
+
+def rolling_mean(history: DataFrame) -> DataFrame:
+    """Centred mean of three; the ends take the nearest mean there is."""
+    order = Window.partitionBy("series").orderBy("at", "run_id")
+    whole = F.count("value").over(order.rowsBetween(-1, 1)) == 3
+    mean = history.withColumn("mean", F.when(whole, F.avg("value").over(order.rowsBetween(-1, 1))))
+    back = F.first("mean", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    forward = F.last("mean", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return mean.withColumn("mean", F.round(F.coalesce("mean", back, forward), 3))
+
+
+def first_rows(df: DataFrame, by: list[Column | str], order: list[Column]) -> DataFrame:
+    """The first row of each group: the first alert of a run, the latest job of an asset, the latest feedback of a rounded value."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def steady_status(history: DataFrame) -> DataFrame:
+    """Ok where a value equals the one before (or is the first), else High: for counts of columns."""
+    before = F.lag("value").over(Window.partitionBy("series").orderBy("at", "run_id"))
+    return history.withColumn("status", F.when(before.isNull() | (before == F.col("value")), "Ok").otherwise("High"))
+
+
+def compared(left: DataFrame, right: DataFrame, condition: str, value1: float, value2: float | None = None, unit: float = 1.0) -> DataFrame:
+    """Latest values of two histories by series: their difference in a unit, and whether it meets a condition
+    (gt, lt, ge, le, eq, between, notbetween)."""
+    latest = [first_rows(h, ["series"], [F.desc("at"), F.desc("run_id")]).select("series", F.col("value").alias(n)) for h, n in ((left, "source"), (right, "target"))]
+    d = F.abs(F.col("source") - F.col("target")) / unit
+    tests = {"gt": d > value1, "lt": d < value1, "ge": d >= value1, "le": d <= value1, "eq": d == value1}
+    if value2 is not None:
+        tests |= {"between": d.between(value1, value2), "notbetween": ~d.between(value1, value2)}
+    return latest[0].join(latest[1], "series").select("series", "source", "target", F.round(d, 4).alias("difference"), tests[condition].alias("met"))
 
 
 def z_interval(history: DataFrame) -> DataFrame:
@@ -52,25 +95,34 @@ def ewma(history: DataFrame, alpha: float = 0.3) -> DataFrame:
 def auto_status(value: Column, lower: Column, upper: Column, std: Column) -> Column:
     """Ok, Low, Medium or High by how far outside the bounds, in bands by deviation."""
     up = F.ceil(value * 100) / 100
+    # fixed values: bands in deviations, and in shares of the bounds where there is no deviation
     near = F.when(std <= 10, 3.0).when(std <= 10_000, 1.5).otherwise(1.0)
     far = F.when(std <= 10, 6.0).when(std <= 10_000, 2.5).otherwise(1.2)
     straddles = (std > 150) & (std <= 10_000) & (lower < 0) & (upper > 0)
     near, far = F.when(straddles, 1.0).otherwise(near), F.when(straddles, 1.2).otherwise(far)
-    big = value >= 100_000
     zero = (lower == 0) & (upper == 0)
-    still = lambda bound, share: F.when(zero, share[2]).when(big, F.abs(bound) * share[1]).otherwise(F.abs(bound) * share[0])
+    still = lambda bound, share: F.when(zero, share[2]).when(up >= 100_000, bound * share[1]).otherwise(bound * share[0])
     first = lambda bound: F.when(std == 0, still(bound, (0.2, 0.01, 1.5))).otherwise(near * std)
     second = lambda bound: F.when(std == 0, still(bound, (0.4, 0.02, 2.5))).otherwise(far * std)
-    clipped = lambda x: F.when(value >= 0, F.greatest(x, F.lit(0.0))).otherwise(x)
+    low = lambda band: F.when(value >= 0, F.greatest(F.round(lower - band(lower), 2), F.lit(0.0))).otherwise(F.round(lower - band(lower), 2))
+    high = lambda band: F.round(upper + band(upper), 2)
     return (
         F.when(value.isNull() | lower.isNull() | upper.isNull(), F.lit(None).cast("string"))
         .when((up >= lower) & (up <= upper), "Ok")
-        .when((up >= clipped(lower - first(lower))) & (up <= upper + first(upper)), "Low")
-        .when((up >= clipped(lower - second(lower))) & (up <= upper + second(upper)), "Medium")
+        .when((up >= low(first)) & (up <= high(first)), "Low")
+        .when((up >= low(second)) & (up <= high(second)), "Medium")
         .otherwise("High")
     )
 
 
+def alerts(history: DataFrame) -> DataFrame:
+    """Each value against the mean of its series -+ one deviation (whole numbers): bounds, status and deviation."""
+    b = history.groupBy("series").agg(F.avg("value").alias("m"), F.round(F.stddev_pop("value"), 2).alias("std"))
+    x = history.join(b, "series").withColumns({"lower": F.floor(F.col("m") - F.col("std")).cast("double"), "upper": F.ceil(F.col("m") + F.col("std")).cast("double")})
+    c = [F.col(k) for k in ("value", "lower", "upper", "std")]
+    return x.withColumn("status", auto_status(*c)).withColumn("deviation", deviation(*c, F.col("status")))
+
+
 def manual_status(value: Column, rules: list[tuple[str, Column]]) -> Column:
     """The first of High, Medium, Low whose (typed) condition holds; a condition that can't be decided counts as met."""
     out = F.lit("Ok")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import operator
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,9 +98,43 @@ def grouped_scores(df: DataFrame, by: list[str], valid: Column, weight: float =
 
 
 def overall(groups: DataFrame) -> DataFrame:
-    """The mean of group scores, and the valid rows it stands for."""
-    one = groups.agg(F.count("*").alias("n_groups"), F.sum("total_count").alias("total_count"), F.avg("score").alias("s"))
-    return one.select("n_groups", "total_count", F.round("s", 3).alias("score"), F.floor(F.col("s") / 100 * F.col("total_count")).cast("long").alias("valid_count"))
+    """The mean of group scores to three places, and the valid rows it stands for (in whole numbers, so that no tie depends on an engine's floats)."""
+    one = groups.agg(F.count("*").alias("n_groups"), F.sum("total_count").alias("total_count"), F.sum(F.round(F.col("score") * 10_000).cast("long")).alias("s"))
+    return one.select("n_groups", "total_count", (F.expr("(2 * s + 10 * n_groups) div (20 * n_groups)") / 1000).alias("score"), F.expr("(s * total_count) div (1000000 * n_groups)").alias("valid_count"))
+
+
+def pass_statistics(scores: DataFrame, by: list[str], least: float) -> DataFrame:
+    """Rules per group, and how many passed and failed (``rule``, ``score``)."""
+    name = lambda met: F.count_distinct(F.when(met, F.col("rule")))
+    return scores.groupBy(*by).agg(F.count_distinct("rule").alias("n_rules"), name(F.col("score") >= least).alias("passed"), name(F.col("score") < least).alias("failed"))
+
+
+def cross_source(frames: dict[str, DataFrame], query: str) -> DataFrame:
+    """A user's SQL over named frames, written ``@name`` in it."""
+    spark, names = next(iter(frames.values())).sparkSession, {}
+    for name, df in frames.items():
+        names[name] = f"source_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(names[name])
+    return spark.sql(re.sub(r"@(\w+)", lambda m: names.get(m[1], m[0]), query))
+
+
+def upserted(stored_rows: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """Rows of ``fresh`` replace stored ones of equal key, others are added; fresh rows have one row a key."""
+    return stored_rows.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def retained(df: DataFrame, history: DataFrame, runs: int) -> DataFrame:
+    """Rows of the last ``runs`` runs of ``history`` (run_id, at)."""
+    order = history.select("run_id", "at").groupBy("run_id").agg(F.max("at").alias("at")).orderBy(F.desc("at"), F.desc("run_id")).limit(runs)
+    return df.join(F.broadcast(order.select("run_id")), "run_id", "left_semi")
+
+
+def assigned(df: DataFrame, owners: list[tuple[Column, str]], default: str) -> DataFrame:
+    """The owner that the first rule that holds names, else the default one."""
+    out = F.lit(default)
+    for condition, owner in reversed(owners):
+        out = F.when(condition, owner).otherwise(out)
+    return df.withColumn("owner", out)
 
 
 def weighted_rollup(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import patterns
 from plumbline.operators import distributions, health, history, records, rules, schema
+from plumbline.sources import files
 from plumbline.streaming import behaviour
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +53,7 @@ def _health_sql(table: str, columns: dict[str, str]) -> str:
             f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS null_count, {text(f'''count(*) FILTER ({c} = '')''')} AS blank_count, "
             f"{text(f'''count(*) FILTER (regexp_full_match({c}, ' +'))''')} AS space_count, {f'count(*) FILTER ({c} = 0)' if k == 'n' else 'CAST(NULL AS BIGINT)'} AS zero_values, "
             f"count(DISTINCT {c}) AS distinct_count, {text(f'min(length({c}))')} AS min_length, {text(f'max(length({c}))')} AS max_length, "
-            f"count(*) - {empty} AS non_empty, count({c}) - count(DISTINCT {c}) AS duplicate_count, round(100.0 * (count(*) - {empty}) / count(*), 4) AS score FROM {table}"
+            f"count(*) - {empty} AS non_empty, count(*) - count(DISTINCT {c}) AS duplicate_count, round(100.0 * (count(*) - {empty}) / count(*), 4) AS score FROM {table}"
         )
     return " UNION ALL ".join(out)
 
@@ -263,7 +264,8 @@ def grouped_scores_nation(spark, sf_dir):
 
 @query(
     """WITH g AS (SELECT c_mktsegment, count(*) AS n, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 4) AS s FROM customer GROUP BY 1)
-    SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS total_count, round(avg(s), 3) AS score, CAST(floor(avg(s) / 100 * sum(n)) AS BIGINT) AS valid_count FROM g"""
+    , t AS (SELECT count(*) AS g, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CAST(round(s * 10000) AS BIGINT)) AS BIGINT) AS s FROM g)
+    SELECT g AS n_groups, n AS total_count, ((2 * s + 10 * g) // (20 * g)) / 1000.0 AS score, (s * n) // (1000000 * g) AS valid_count FROM t"""
 )
 def overall_score_segment(spark, sf_dir):
     return rules.overall(rules.grouped_scores(t(spark, sf_dir, "customer"), ["c_mktsegment"], F.col("c_acctbal") > 0))
@@ -290,17 +292,12 @@ def daily_slices_events(spark, sf_dir):
     return behaviour.slices(t(spark, sf_dir, "events"), "ts", "1 day", ["event_type"], "value")
 
 
-@query()
+@query(_SQL["daily_slices_events"])
 def stream_slices_events(spark, sf_dir):
     """The slices as a stream over the same table, run until all of it is read."""
-    import uuid
-
     e = t(spark, sf_dir, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"slices_{uuid.uuid4().hex}"
-    running = behaviour.stream_slices(stream, "ts", "1 day", ["event_type"], "value", "1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return behaviour.streamed(behaviour.stream_slices(stream, "ts", "1 day", ["event_type"], "value", "1 hour"), ["slice_start", "event_type"])
 
 
 def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +311,7 @@ _HISTORY = "h AS (SELECT event_type AS series, strftime(ts, '%Y-%m-%d') AS \"at\
 
 @query(
     f"""WITH {_HISTORY}, l AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY "at") AS previous FROM h)
-    SELECT series, "at", value, "at" AS run_id, previous, round(CASE WHEN value = previous THEN 0.0 WHEN previous = 0 THEN value * 100 ELSE (value - previous) / previous * 100 END, 3) AS change FROM l"""
+    SELECT series, "at", value, "at" AS run_id, previous, round(CASE WHEN value = previous THEN 0.0 WHEN previous = 0 THEN value * 100 ELSE (value - previous) / previous * 100 END, 4) AS change FROM l"""
 )
 def percent_change_events(spark, sf_dir):
     return history.percent_change(daily_history(spark, sf_dir))
@@ -352,17 +349,13 @@ _ALERT = f"""WITH {_HISTORY}, b AS (SELECT series, avg(value) AS m, round(stddev
     x AS (SELECT h.series, h."at" AS run_id, h.value, floor(m - std) AS lower, ceil(m + std) AS upper, std, ceil(h.value * 100) / 100 AS up, m FROM h JOIN b ON h.series = b.series),
     y AS (SELECT *, CASE WHEN std <= 10 THEN 3.0 WHEN std <= 150 THEN 1.5 WHEN std <= 10000 THEN CASE WHEN lower < 0 AND upper > 0 THEN 1.0 ELSE 1.5 END ELSE 1.0 END * std AS k1,
              CASE WHEN std <= 10 THEN 6.0 WHEN std <= 150 THEN 2.5 WHEN std <= 10000 THEN CASE WHEN lower < 0 AND upper > 0 THEN 1.2 ELSE 2.5 END ELSE 1.2 END * std AS k2 FROM x),
-    z AS (SELECT *, CASE WHEN up >= lower AND up <= upper THEN 'Ok' WHEN up >= greatest(lower - k1, 0) AND up <= upper + k1 THEN 'Low' WHEN up >= greatest(lower - k2, 0) AND up <= upper + k2 THEN 'Medium' ELSE 'High' END AS status FROM y)
+    z AS (SELECT *, CASE WHEN up >= lower AND up <= upper THEN 'Ok' WHEN up >= greatest(round(lower - k1, 2), 0) AND up <= round(upper + k1, 2) THEN 'Low' WHEN up >= greatest(round(lower - k2, 2), 0) AND up <= round(upper + k2, 2) THEN 'Medium' ELSE 'High' END AS status FROM y)
     """
 
 
 @query(_ALERT + "SELECT series, run_id, value, lower, upper, status, CASE WHEN value BETWEEN lower AND upper THEN 0.0 ELSE round(abs(value - (lower + upper) / 2) / std, 2) END AS deviation FROM z")
 def alerts_events(spark, sf_dir):
-    h = daily_history(spark, sf_dir)
-    b = h.groupBy("series").agg(F.avg("value").alias("m"), F.round(F.stddev_pop("value"), 2).alias("std"))
-    x = h.join(b, "series").withColumns({"lower": F.floor(F.col("m") - F.col("std")).cast("double"), "upper": F.ceil(F.col("m") + F.col("std")).cast("double")})
-    c = [F.col(k) for k in ("value", "lower", "upper", "std")]
-    return x.withColumn("status", history.auto_status(*c)).withColumn("deviation", history.deviation(*c, F.col("status"))).select("series", "run_id", "value", "lower", "upper", "status", "deviation")
+    return history.alerts(daily_history(spark, sf_dir)).select("series", "run_id", "value", "lower", "upper", "status", "deviation")
 
 
 @query(
@@ -424,3 +417,169 @@ def clusters_part(spark, sf_dir):
 @query("SELECT page_id, regexp_matches(url, '^https?://') AS is_url, regexp_matches(url, '[0-9]+') AS has_number FROM pages")
 def semantic_flags_pages(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", F.col("url").rlike("^https?://").alias("is_url"), F.col("url").rlike(patterns.pattern_regex("N", True).strip("^$")).alias("has_number"))
+
+
+# ---------------------------------------------------------------- values, scores, comparisons, failed rows
+
+
+def _values_sql(table: str, columns: dict[str, str]) -> str:
+    out = []
+    for c, k in columns.items():
+        number = lambda x: f"CAST({x} AS DOUBLE)" if k == "n" else "CAST(NULL AS DOUBLE)"  # noqa: B023, E731
+        text = lambda x: x if k == "s" else "CAST(NULL AS VARCHAR)"  # noqa: B023, E731
+        count = lambda x, kind: f"count(*) FILTER ({x})" if k == kind else "CAST(NULL AS BIGINT)"  # noqa: B023, E731
+        out.append(
+            f"SELECT '{c}' AS column_name, count(*) AS row_count, {number(f'min({c})')} AS min_value, {number(f'max({c})')} AS max_value, {text(f'min({c})')} AS min_text, {text(f'max({c})')} AS max_text, "
+            f"{count(f'{c} > 0', 'n')} AS positive_count, {count(f'{c} < 0', 'n')} AS negative_count, {count(f"""regexp_full_match({c}, '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)')""", 's')} AS numeric_texts FROM {table}"
+        )
+    return " UNION ALL ".join(out)
+
+
+@query(_values_sql("lineitem", _LINEITEM))
+def values_lineitem(spark, sf_dir):
+    return health.value_measures(t(spark, sf_dir, "lineitem"))
+
+
+@query(_values_sql("customer", {"c_custkey": "n", "c_name": "s", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "s"}))
+def values_customer(spark, sf_dir):
+    return health.value_measures(t(spark, sf_dir, "customer"))
+
+
+@query("SELECT 'l_extendedprice' AS column_name, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 3) AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))) + " FROM lineitem")
+def quartiles_lineitem_price(spark, sf_dir):
+    q = health.quantiles(t(spark, sf_dir, "lineitem"), ["l_extendedprice"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return q.select("column_name", *(F.round(c, 3).alias(c) for c in ("q1", "median", "q3")))
+
+
+_SCORED = (("counts_valid", True, False), ("counts_invalid", False, False), ("outside_range", True, True))
+
+
+@query(
+    "WITH c AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS k, count(*) FILTER (o_orderstatus <> 'P') AS d FROM orders GROUP BY 1) "
+    "SELECT o_orderpriority, round(100.0 * k / n, 4) AS counts_valid, round(100.0 * (n - k) / n, 4) AS counts_invalid, round(100.0 * (n - k) / n, 4) AS outside_range, round(least(100.0, 100.0 * k / d * 0.5), 4) AS of_denominator FROM c"
+)
+def measure_scores_orders(spark, sf_dir):
+    one = t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 150_000).alias("k"), F.count_if(F.col("o_orderstatus") != "P").alias("d"))
+    k, n = F.col("k"), F.col("n")
+    found = [F.round(health.measure_score(k, n, positive, in_range), 4).alias(name) for name, positive, in_range in _SCORED]
+    return one.select("o_orderpriority", *found, F.round(health.measure_score(k, n, weight=50.0, denominator=F.col("d")), 4).alias("of_denominator"))
+
+
+@query(f"""WITH {_HISTORY}, l AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY "at") AS p FROM h),
+    c AS (SELECT series, CASE WHEN value = p THEN 0.0 WHEN p = 0 THEN value * 100 ELSE round((value - p) / p * 100, 4) END AS change FROM l WHERE p IS NOT NULL)
+    SELECT series, round(avg(change) - stddev_samp(change), 3) AS lower, round(avg(change) + stddev_samp(change), 3) AS upper FROM c GROUP BY 1""")
+def percent_threshold_events(spark, sf_dir):
+    return history.percent_threshold(daily_history(spark, sf_dir))
+
+
+@query(f"""WITH {_HISTORY}, l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY series ORDER BY "at" DESC) <= 7)
+    SELECT series, round(stddev_samp(value), 3) AS deviation, count(value) AS runs FROM l GROUP BY 1""")
+def deviations_events(spark, sf_dir):
+    return history.deviation_by_series(daily_history(spark, sf_dir), 7)
+
+
+@query(f"""WITH {_HISTORY}, m AS (SELECT *, CASE WHEN count(*) OVER w = 3 THEN avg(value) OVER w END AS mean, row_number() OVER (PARTITION BY series ORDER BY "at") AS i, count(*) OVER (PARTITION BY series) AS n
+      FROM h WINDOW w AS (PARTITION BY series ORDER BY "at" ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+    SELECT series, "at" AS run_id, round(CASE WHEN i = 1 THEN lead(mean) OVER v WHEN i = n THEN lag(mean) OVER v ELSE mean END, 3) AS mean FROM m WINDOW v AS (PARTITION BY series ORDER BY "at")""")
+def rolling_mean_events(spark, sf_dir):
+    return history.rolling_mean(daily_history(spark, sf_dir)).select("series", "run_id", "mean")
+
+
+@query("SELECT event_type, user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1")
+def first_event_of_each_kind(spark, sf_dir):
+    return history.first_rows(t(spark, sf_dir, "events"), ["event_type", "user_id"], [F.col("ts"), F.col("event_id")]).select("event_type", "user_id", "event_id")
+
+
+@query("SELECT round(value, 0) AS rounded, event_id FROM events QUALIFY row_number() OVER (PARTITION BY round(value, 0) ORDER BY ts DESC, event_id DESC) = 1")
+def latest_of_each_rounded_value(spark, sf_dir):
+    found = history.first_rows(t(spark, sf_dir, "events").withColumn("rounded", F.round("value", 0)), ["rounded"], [F.desc("ts"), F.desc("event_id")])
+    return found.select("rounded", "event_id")
+
+
+@query(f"""WITH {_HISTORY} SELECT series, "at" AS run_id, CASE WHEN coalesce(lag(value) OVER (PARTITION BY series ORDER BY "at"), value) = value THEN 'Ok' ELSE 'High' END AS status FROM h""")
+def steady_status_events(spark, sf_dir):
+    return history.steady_status(daily_history(spark, sf_dir)).select("series", "run_id", "status")
+
+
+@query(f"""WITH {_HISTORY}, a AS (SELECT series, value FROM h QUALIFY row_number() OVER (PARTITION BY series ORDER BY "at" DESC) = 1),
+    b AS (SELECT series, value FROM h WHERE "at" < '2024-01-20' QUALIFY row_number() OVER (PARTITION BY series ORDER BY "at" DESC) = 1)
+    SELECT a.series, a.value AS source, b.value AS target, round(abs(a.value - b.value), 4) AS difference, abs(a.value - b.value) BETWEEN 2 AND 40 AS met FROM a JOIN b ON a.series = b.series""")
+def compared_events(spark, sf_dir):
+    h = daily_history(spark, sf_dir)
+    return history.compared(h, h.filter("at < '2024-01-20'"), "between", 2, 40)
+
+
+@query(
+    "WITH s AS (SELECT o_orderpriority, r.rule, r.score FROM (SELECT o_orderpriority, unnest(["
+    + ", ".join(f"{{'rule': '{k}', 'score': 100.0 * count(*) FILTER ({p}) / count(*)}}" for k, p in _ORDER_SQL.items())
+    + "]) AS r FROM orders GROUP BY 1)) SELECT o_orderpriority, count(DISTINCT rule) AS n_rules, count(DISTINCT CASE WHEN score >= 90 THEN rule END) AS passed, count(DISTINCT CASE WHEN score < 90 THEN rule END) AS failed FROM s GROUP BY 1"
+)
+def pass_statistics_orders(spark, sf_dir):
+    found = _order_rules()
+    counted = t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), *(F.count_if(p).alias(k) for k, p in found.items()))
+    scores = counted.select("o_orderpriority", F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), health.score(F.col(k), F.col("n")).alias("score")) for k in found))))
+    return rules.pass_statistics(scores, ["o_orderpriority"], 90.0)
+
+
+@query("SELECT c_mktsegment, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def cross_source_orders(spark, sf_dir):
+    frames = {"orders": t(spark, sf_dir, "orders"), "people": t(spark, sf_dir, "customer")}
+    return rules.cross_source(frames, "SELECT c_mktsegment, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS finished FROM @orders JOIN @people ON o_custkey = c_custkey GROUP BY c_mktsegment")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey < 20")
+def upserted_customer(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    old = c.filter("c_nationkey < 20").select("c_custkey", "c_mktsegment")
+    return rules.upserted(old, c.filter("c_nationkey < 5").select("c_custkey", F.concat(F.upper("c_mktsegment"), F.lit("!")).alias("c_mktsegment")), "c_custkey")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS run_id FROM events WHERE strftime(ts, '%Y-%m-%d') IN (SELECT DISTINCT strftime(ts, '%Y-%m-%d') FROM events ORDER BY 1 DESC LIMIT 5)")
+def retained_events(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("run_id"))
+    return rules.retained(e, e.select("run_id", F.col("run_id").alias("at")), 5)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'board' WHEN o_orderstatus = 'P' THEN 'desk' WHEN o_orderpriority LIKE '1%' THEN 'night' ELSE 'pool' END AS owner FROM orders")
+def assigned_orders(spark, sf_dir):
+    owners = [(F.col("o_totalprice") > 300_000, "board"), (F.col("o_orderstatus") == "P", "desk"), (F.col("o_orderpriority").like("1%"), "night")]
+    return rules.assigned(t(spark, sf_dir, "orders"), owners, "pool").select("o_orderkey", "owner")
+
+
+@query("SELECT * FROM (VALUES ('p_name', 'string', 2), ('p_retailprice', 'double', 6)) AS v(column_name, datatype, position)")
+def deprecated_part(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    return schema.deprecated(schema.snapshot(part), schema.snapshot(part.withColumnRenamed("p_name", "p_title").drop("p_retailprice")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 30 DAY")
+def incremental_orders(spark, sf_dir):
+    return files.incremental(t(spark, sf_dir, "orders"), "o_orderdate", 30, F.lit("1998-08-01").cast("date")).select("o_orderkey")
+
+
+@query("""WITH a AS (SELECT event_type AS series, ts AS "at", event_id, CAST(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id))) AS BIGINT) AS gap FROM events)
+    SELECT event_id, gap, gap IS NULL OR gap <= 7200 AS on_time FROM a""")
+def arrivals_events(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("ts").alias("at"), "event_id")
+    return files.arrivals(e, 3600, ties=["event_id"]).select("event_id", "gap", "on_time")
+
+
+@query(f"""WITH {_HISTORY}, n AS (SELECT series FROM h GROUP BY 1 HAVING count(*) > 3) SELECT series, "at" AS run_id, value FROM h SEMI JOIN n ON h.series = n.series WHERE value > 70""")
+def gated_alerts_events(spark, sf_dir):
+    h = daily_history(spark, sf_dir)
+    return history.gated(h.filter("value > 70"), h).select("series", "run_id", "value")
+
+
+@query("SELECT o_orderkey, greatest(0.3, round(0.9 * pow(0.95, o_orderkey % 40), 6)) AS confidence FROM orders")
+def confidence_orders(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", F.round(history.confidence(F.lit(0.9), F.col("o_orderkey") % 40), 6).alias("confidence"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS filled, " + ", ".join(f"count(*) FILTER (regexp_full_match({c}, '{p}')) AS {k}" for k, p in patterns.CONTACTS.items()) + f" FROM {table}"
+        for table, c in (("pages", "url"),)
+    )
+)
+def semantic_shares_pages(spark, sf_dir):
+    return distributions.semantic_counts(t(spark, sf_dir, "pages").select("url"))
