@@ -3,16 +3,17 @@
 1. Every file's words that any template has (without stop words, which are
    wildcards in templates) are kept with their positions: one pass over texts.
 2. Their document frequencies over all files give IDFs. A template's two rarest
-   words are its anchors, the words under which the index looks it up.
-3. Each kept word is looked up; postings of one template are intersected by
-   relative position: they are grouped by file, template and the place where
-   the template would begin. A place counts if an anchor stands there, if all
-   words of the template's mandatory key phrase do, and if the matched words
-   have SHARE of the template's IDF.
+   words are its anchors; the index holds these alone, each with the templates
+   and positions at which it stands.
+3. A file's rarest licence words are looked up in the index, each giving places
+   where a template may begin. Only for such places the template's other
+   postings are intersected with the file's words by relative position. A place
+   counts if all words of the template's mandatory key phrase stand there and
+   the matched words have SHARE of the template's IDF.
 
 The base phrases are templates whose key phrase is all of them, so every place
-is found. Groups are places within one file, so nothing is hot; the index is a
-literal of a few dozen words.
+is found: an anchor stands in it. Rows of the join are single positions of
+files, so nothing is hot; the index is a literal of a few dozen words.
 
 Edge cases: null text counts as empty; files without words or places have null
 first_word and last_word, empty labels and score 0; overlapping places all
@@ -29,20 +30,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import required, stored
+from plumbline.sources.scratch import Workspace
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Label, base phrases.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Label, template, mandatory key phrase in it.
+#: Label, template (from the licences' public notices, in words as files are read), mandatory key phrase in it.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache license version 2 0",
+    ),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software",
+    ),
     ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+        "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "gnu general public license",
+    ),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unencumbered software released into the public domain"),
 )
 STOP = frozenset("a and are in is of or the this to under use with without any".split())
 SHARE = 0.6
@@ -69,20 +108,33 @@ def _scanned(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
     return words.select(F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
-def _index(library, idf: dict[str, float]) -> Column:
-    """Word -> postings (template, position, share of the template's IDF, whether an anchor, whether of the key phrase)."""
-    postings: dict[str, list[Column]] = {}
-    for t, (_, _, words, key) in enumerate(library):
+def _weighted(library, idf: dict[str, float]) -> list[list[tuple[int, str, float, bool]]]:
+    """Per template its words but stop words: position, word, share of the template's IDF, whether an anchor."""
+    found = []
+    for _, _, words, _ in library:
         own = [(i, w) for i, w in enumerate(words) if w not in STOP]
         total = sum(idf[w] for _, w in own)
         anchors = {w for _, w in sorted({(-idf[w], w) for _, w in own})[:2]}
-        for i, w in own:
-            postings.setdefault(w, []).append(
-                F.struct(F.lit(t).alias("t"), F.lit(i).alias("p"), F.lit(idf[w] / total).alias("g"), F.lit(int(w in anchors)).alias("a"), F.lit(int(i in key)).alias("k"))
-            )
+        found.append([(i, w, idf[w] / total, w in anchors) for i, w in own])
+    return found
+
+
+def _index(weighted) -> Column:
+    """Anchor -> where it stands in templates: (template, position)."""
+    postings: dict[str, list[Column]] = {}
+    for t, own in enumerate(weighted):
+        for i, w, _, anchor in own:
+            if anchor:
+                postings.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(i).alias("p")))
     return F.create_map(*(x for w, p in postings.items() for x in (F.lit(w), F.array(*p))))
 
 
+def _positions(library, weighted) -> Column:
+    """Per template its words: position, word, share of IDF, whether of the key phrase."""
+    one = lambda t: F.array(*(F.struct(F.lit(i).alias("p"), F.lit(w).alias("w"), F.lit(g).alias("g"), F.lit(int(i in library[t][3])).alias("k")) for i, w, g, _ in weighted[t]))
+    return F.array(*map(one, range(len(library))))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scan every text.
 
@@ -92,7 +144,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     library = _library()
     vocabulary = sorted({w for _, _, words, _ in library for w in words} - STOP)
     texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    files = stored(_scanned(texts, vocabulary), "files")
+    with Workspace(docs.sparkSession) as space:
+        return stored(_found(library, space.stored(_scanned(texts, vocabulary), "files"), vocabulary), "licences").withColumnRenamed("id", id_col)
+
+
+def _found(library, files: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     total = files.count()
     counted = files.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").count()
@@ -102,15 +158,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def per_template(values) -> Column:
         return F.array(*(F.lit(v) for v in values))
 
-    posted = (
-        files.select("row", F.explode("hits").alias("h"))
-        .select("row", F.col("h.i").alias("i"), F.explode(F.element_at(_index(library, idf), F.col("h.w"))).alias("x"))
-        .select("row", "x.t", (F.col("i") - F.col("x.p")).alias("start"), "x.g", "x.a", "x.k")
-    )
+    weighted = _weighted(library, idf)
+    held = files.select("row", F.explode("hits").alias("h")).select("row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
+    anchors = sorted({w for own in weighted for _, w, _, anchor in own if anchor})
+    looked_up = held.filter(F.col("w").isin(anchors)).select("row", "i", F.explode(F.element_at(_index(weighted), F.col("w"))).alias("x"))
+    begins = looked_up.select("row", "x.t", (F.col("i") - F.col("x.p")).alias("start")).distinct()
+    asked = begins.select("row", "t", "start", F.explode(F.get(_positions(library, weighted), F.col("t"))).alias("x"))
+    placed = asked.select("row", (F.col("start") + F.col("x.p")).alias("i"), "x.w", "t", "start", "x.g", "x.k").join(held, ["row", "i", "w"])
     places = (
-        posted.groupBy("row", "t", "start")
-        .agg(F.sum("g").alias("share"), F.max("a").alias("anchor"), F.sum("k").alias("keys"))
-        .filter((F.col("anchor") == 1) & (F.col("keys") == F.get(per_template(len(x[3]) for x in library), F.col("t"))) & (F.col("share") >= SHARE))
+        placed.groupBy("row", "t", "start")
+        .agg(F.sum("g").alias("share"), F.sum("k").alias("keys"))
+        .filter((F.col("keys") == F.get(per_template(len(x[3]) for x in library), F.col("t"))) & (F.col("share") >= SHARE))
         .select("row", "start", F.least("share", F.lit(1.0)).alias("share"), F.get(per_template(x[0] for x in library), F.col("t")).alias("label"), F.get(per_template(x[1] for x in library), F.col("t")).alias("base"))
     )
     base = F.col("base")
@@ -123,7 +181,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max("share").alias("score"),
     )
     return files.select("row", "id", "n_words").join(of_file, "row", "left").select(
-        F.col("id").alias(id_col),
+        "id",
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         "first_word",

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from plumbline.llm import licenses
 from tests.llm import brute
 from tests.llm.test_text_operators import SCHEMA, corpus
@@ -25,3 +29,29 @@ def test_repeated_rows_and_empty_table(spark):
     twice = spark.createDataFrame([(1, "cc by", "en", 1, "k")] * 2 + [(1, None, "en", 1, "k")], SCHEMA)
     assert sorted(r.n_base for r in licenses.license_scan(twice).collect()) == [0, 1, 1]
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_notices_and_their_plain_version(spark):
+    """The method's labels and scores against a plain scan of all places, on notices with words missing."""
+    r = random.Random(4)
+    texts = []
+    for _, text, _ in licenses.TEMPLATES:
+        w = text.split()
+        for lost in (0, 1, 3, len(w) // 4, len(w) // 2):
+            texts.append("Some file.\n" + " ".join(x.capitalize() for i, x in enumerate(w) if i not in set(r.sample(range(len(w)), lost))) + " End. All rights reserved")
+    got = {x.doc_id: x for x in licenses.license_scan(spark.createDataFrame([(i, t, "en", 1, "k") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    words = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) for t in texts]
+    library = licenses._library()
+    vocabulary = sorted({w for _, _, own, _ in library for w in own} - licenses.STOP)
+    idf = {v: math.log(1 + (len(texts) + 1) / (sum(v in w for w in words) + 1)) for v in vocabulary}
+    weighted = licenses._weighted(library, idf)
+    for n, w in enumerate(words):
+        labels, best = set(), 0.0
+        for (label, _, own, key), entries in zip(library, weighted):
+            for start in range(-len(own), len(w)):
+                there = [(i, g, a) for i, x, g, a in entries if 0 <= start + i < len(w) and w[start + i] == x]
+                if any(a for _, _, a in there) and key <= {i for i, _, _ in there} and sum(g for _, g, _ in there) >= licenses.SHARE:
+                    labels.add(label)
+                    best = max(best, min(1.0, sum(g for _, g, _ in there)))
+        assert got[n].labels == ",".join(sorted(labels)) and abs(got[n].score - best) < 1e-9, texts[n]
+    assert all(got[5 * i].score > 0.999 and label in got[5 * i].labels.split(",") for i, (label, _, _) in enumerate(licenses.TEMPLATES))
