@@ -73,3 +73,9 @@ CONTACTS = {
     "uuid": r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     "name": r"[A-Z][a-z]+( [A-Z]\.)?( [A-Z][a-z]+)+",
 }
+
+
+def sign(long: Column) -> Column:
+    """negative, positive or null, by the pattern of a number: every N stands for a one."""
+    number = F.regexp_replace(long, "N", "1").try_cast("double")
+    return F.when(number < 0, "negative").when(number > 0, "positive")

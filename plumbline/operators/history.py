@@ -71,6 +71,80 @@ def compared(left: DataFrame, right: DataFrame, condition: str, value1: float, v
     return latest[0].join(latest[1], "series").select("series", "source", "target", F.round(d, 4).alias("difference"), tests[condition].alias("met"))
 
 
+def recent(history: DataFrame, days: int = 0, months: int = 0) -> DataFrame:
+    """Runs within days or months of the latest run of their series."""
+    latest = history.groupBy("series").agg(F.max(F.to_date("at")).alias("latest"))
+    first = F.add_months("latest", -months) if months else F.date_sub("latest", days)
+    return history.join(latest, "series").filter(F.to_date("at") > first).select(*history.columns)
+
+
+def collected(history: DataFrame) -> DataFrame:
+    """series and its values in time order, as a JSON array."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "run_id", "value")))
+    return history.groupBy("series").agg(F.to_json(F.transform(ordered, lambda x: x["value"])).alias("history"))
+
+
+def without_outliers(history: DataFrame, cut: float = 2.0) -> DataFrame:
+    """Values more than ``cut`` (population) deviations from their series' mean become its median; a series without
+    deviation stays."""
+    stats = history.groupBy("series").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.median("value").alias("middle"))
+    far = F.abs(F.col("value") - F.col("m")) > cut * F.col("s")
+    return history.join(stats, "series").withColumn("value", F.when(far, F.col("middle")).otherwise(F.col("value"))).select(*history.columns)
+
+
+def weighed_by_feedback(history: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Values as users marked them (series, value, accepted): rejected ones become the median of their series;
+    accepted ones up to the median are halved, others grow by half. One mark a value."""
+    middle = history.groupBy("series").agg(F.median("value").alias("middle"))
+    v, m = F.col("value"), F.col("middle")
+    new = F.when(~F.col("accepted"), m).when(F.col("accepted"), F.when(v <= m, v * 0.5).otherwise(v * 1.5)).otherwise(v)
+    return history.join(middle, "series").join(feedback, ["series", "value"], "left").withColumn("value", new).select(*history.columns)
+
+
+def data_share(feedback_now: Column, feedback_runs_ago: Column) -> Column:
+    """How far data, not feedback, moves a threshold: all the way where there never was feedback."""
+    # fixed values: shares by the runs since the last feedback
+    ago = feedback_runs_ago
+    past = F.when(ago <= 2, 0.20).when(ago <= 5, 0.40).when(ago <= 15, 0.60).otherwise(0.75)
+    return F.when(feedback_now, 0.15).when(ago.isNull(), 1.0).otherwise(past)
+
+
+def feedback_action(mark: Column, status: Column) -> Column:
+    """What a mark (normal or outlier) on an alert or an Ok value asks for."""
+    return F.when((mark == "normal") & (status != "Ok"), "expand").when((mark == "outlier") & (status == "Ok"), "contract").otherwise("conflicted")
+
+
+def since_reset(history: DataFrame, resets: DataFrame) -> DataFrame:
+    """Runs from the last reset of their series (series, reset_at) on; of a series with a reset and no run since, the latest one."""
+    last = resets.groupBy("series").agg(F.max("reset_at").alias("reset_at"))
+    latest = history.groupBy("series").agg(F.max("at").alias("latest"))
+    kept = F.col("reset_at").isNull() | (F.col("at") >= F.least("reset_at", "latest"))
+    return history.join(latest, "series").join(last, "series", "left").filter(kept).select(*history.columns)
+
+
+def linked_alerts(alerts: DataFrame, runs: int) -> DataFrame:
+    """Raised alerts with the run of the last one raised among the ``runs`` runs before (null: a new issue)."""
+    before = Window.partitionBy("series").orderBy("at", "run_id").rowsBetween(-runs, -1)
+    earlier = F.last(F.when(F.col("raised"), F.col("run_id")), ignorenulls=True).over(before)
+    return alerts.withColumn("linked_run", earlier).filter("raised")
+
+
+def linear_forecast(history: DataFrame) -> DataFrame:
+    """The straight line through each series by run number, and its next value."""
+    order = Window.partitionBy("series").orderBy("at", "run_id")
+    x = history.withColumn("i", F.row_number().over(order).cast("double"))
+    line = x.groupBy("series").agg(F.count("*").alias("n"), F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("start"))
+    return line.select("series", "n", F.round("slope", 3).alias("slope"), F.round(F.col("start") + F.col("slope") * (F.col("n") + 1), 3).alias("forecast"))
+
+
+def autoregression(history: DataFrame) -> DataFrame:
+    """Each value by the one before, with least squares, and the next value."""
+    order = Window.partitionBy("series").orderBy("at", "run_id")
+    x = history.withColumn("p", F.lag("value").over(order))
+    fit = x.groupBy("series").agg(F.regr_slope("value", "p").alias("a"), F.regr_intercept("value", "p").alias("c"), F.max_by("value", F.struct("at", "run_id")).alias("latest"))
+    return fit.select("series", F.round("a", 3).alias("slope"), F.round(F.col("c") + F.col("a") * F.col("latest"), 3).alias("forecast"))
+
+
 def z_interval(history: DataFrame) -> DataFrame:
     """Mean -+ 1.959964 population deviations / sqrt(n)."""
     grouped = history.groupBy("series").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))

@@ -137,6 +137,21 @@ def assigned(df: DataFrame, owners: list[tuple[Column, str]], default: str) -> D
     return df.withColumn("owner", out)
 
 
+def enum_score(df: DataFrame, column: str, valid: list, positive: bool = True) -> DataFrame:
+    """Rows whose value is among the valid ones, and their share (of the others where the measure is negative)."""
+    one = df.agg(F.count("*").alias("total_count"), F.count_if(F.col(column).isin(valid)).alias("valid_count"))
+    met = F.col("valid_count") if positive else F.col("total_count") - F.col("valid_count")
+    return one.withColumn("score", F.round(score(met, F.col("total_count")), 4))
+
+
+def outside_range(df: DataFrame, lengths: dict[str, tuple], values: dict[str, tuple]) -> DataFrame:
+    """Per column, measure (length_range, value_range) and learned range: rows outside it and the score of the others; nulls are inside."""
+    tests = [(c, "length_range", ~F.length(c).between(*r)) for c, r in lengths.items()] + [(c, "value_range", ~F.col(c).between(*r)) for c, r in values.items()]
+    one = df.agg(F.count("*").alias("n"), *(F.count_if(x).alias(f"v{i}") for i, (_, _, x) in enumerate(tests)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("measure"), F.col("n").alias("total_count"), F.col(f"v{i}").alias("outside")) for i, (c, m, _) in enumerate(tests)))
+    return one.select(F.inline(rows)).withColumn("score", F.round(score(F.col("total_count") - F.col("outside"), F.col("total_count")), 4))
+
+
 def weighted_rollup(scores: DataFrame, by: list[str]) -> DataFrame:
     """sum(score * weight) / sum(weight) of scored measures."""
     return scores.filter("score is not null").groupBy(*by).agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 3).alias("score"), F.count("*").alias("n_measures"))

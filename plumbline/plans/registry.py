@@ -583,3 +583,7 @@ def confidence_orders(spark, sf_dir):
 )
 def semantic_shares_pages(spark, sf_dir):
     return distributions.semantic_counts(t(spark, sf_dir, "pages").select("url"))
+
+
+# queries of reports and feedback register themselves
+from plumbline.plans import reports  # noqa: E402, F401
