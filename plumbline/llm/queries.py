@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archives, bpe, contamination, extraction, jaccard, licenses, quality, substring, toxicity, url_lists
+from plumbline.llm import archives, bpe, collocations, contamination, extraction, jaccard, licenses, quality, substring, toxicity, url_lists
 from plumbline.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,10 +73,12 @@ QUERIES = {
         op8_quality_rules,
         op9_decontamination,
         op10_ngram_jaccard_join,
+        op12_phrase_collocations,
     )
 }
 #: Where SQL is bearable on whole tables; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op6_url_temporal_lists": url_lists.ORACLE,
     "op9_decontamination": contamination.ORACLE,
+    "op12_phrase_collocations": collocations.ORACLE,
 }
