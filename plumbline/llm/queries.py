@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archives, bpe, collocations, contamination, extraction, jaccard, licenses, quality, substring, toxicity, url_lists
+from plumbline.llm import archives, bpe, collocations, contamination, extraction, jaccard, licenses, quality, ranked, substring, toxicity, url_lists
 from plumbline.llm.shared import table
 
 
@@ -60,6 +60,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES = {
         op9_decontamination,
         op10_ngram_jaccard_join,
         op12_phrase_collocations,
+        op13_ranked_search,
     )
 }
 #: Where SQL is bearable on whole tables; the others are tested against brute force.
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_temporal_lists": url_lists.ORACLE,
     "op9_decontamination": contamination.ORACLE,
     "op12_phrase_collocations": collocations.ORACLE,
+    "op13_ranked_search": ranked.ORACLE,
 }
