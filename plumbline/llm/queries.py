@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import archives, bpe, collocations, contamination, extraction, jaccard, licenses, quality, ranked, substring, toxicity, url_lists
+from plumbline.llm import archives, bpe, collocations, contamination, extraction, fingerprints, jaccard, licenses, quality, ranked, substring, toxicity, url_lists
 from plumbline.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edited(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
         op8_quality_rules,
         op9_decontamination,
         op10_ngram_jaccard_join,
+        op11_multiset_fingerprints,
         op12_phrase_collocations,
         op13_ranked_search,
     )
