@@ -21,6 +21,19 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / longer))
 
 
+def partial_ratio(a: Column, b: Column) -> Column:
+    """0-100: the ratio of the shorter value with the run of its length in the longer one that is most like it.
+
+    Both empty: 100; one empty: 0.
+    """
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    swap = F.length(x) > F.length(y)
+    short, long = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
+    n, room = F.length(short), F.length(long) - F.length(short)
+    edits = F.array_min(F.transform(F.sequence(F.lit(1), room + 1), lambda i: F.levenshtein(F.substring(long, i, n), short)))
+    return F.when(room + n == 0, 100.0).when(n == 0, 0.0).otherwise(100.0 * (1 - edits / n))
+
+
 def token_set(a: Column, b: Column) -> Column:
     """0-100: shared words over all words."""
     x, y = (F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), " +")) for c in (a, b))

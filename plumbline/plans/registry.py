@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import patterns
 from plumbline.operators import distributions, health, history, records, rules, schema
+from plumbline.plans.base import _HISTORY, daily_history, oracle_sql, queries, query, t  # noqa: F401
 from plumbline.sources import files
 from plumbline.streaming import behaviour
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL where SQL can express it."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # ---------------------------------------------------------------- health and statistics
 
 
@@ -292,7 +263,7 @@ def daily_slices_events(spark, sf_dir):
     return behaviour.slices(t(spark, sf_dir, "events"), "ts", "1 day", ["event_type"], "value")
 
 
-@query(_SQL["daily_slices_events"])
+@query(oracle_sql()["daily_slices_events"])
 def stream_slices_events(spark, sf_dir):
     """The slices as a stream over the same table, run until all of it is read."""
     e = t(spark, sf_dir, "events")
@@ -300,13 +271,6 @@ def stream_slices_events(spark, sf_dir):
     return behaviour.streamed(behaviour.stream_slices(stream, "ts", "1 day", ["event_type"], "value", "1 hour"), ["slice_start", "event_type"])
 
 
-def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily row counts per event type, as a metric history."""
-    e = t(spark, sf_dir, "events").select("event_type", F.date_format(F.col("ts"), "yyyy-MM-dd").alias("at"))
-    return e.groupBy(F.col("event_type").alias("series"), "at").agg(F.count("*").cast("double").alias("value")).withColumn("run_id", F.col("at"))
-
-
-_HISTORY = "h AS (SELECT event_type AS series, strftime(ts, '%Y-%m-%d') AS \"at\", CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2)"
 
 
 @query(
@@ -585,5 +549,5 @@ def semantic_shares_pages(spark, sf_dir):
     return distributions.semantic_counts(t(spark, sf_dir, "pages").select("url"))
 
 
-# queries of reports and feedback register themselves
-from plumbline.plans import reports  # noqa: E402, F401
+# these register their own
+from plumbline.plans import linkage, reports  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import patterns
 from plumbline.operators import history, reports, rules, schema
-from plumbline.plans.registry import _HISTORY, daily_history, query, t
+from plumbline.plans.base import _HISTORY, daily_history, query, t
 from plumbline.sources import files
 
 # ---------------------------------------------------------------- reports
