@@ -42,3 +42,17 @@ def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HISTORY = "h AS (SELECT event_type AS series, strftime(ts, '%Y-%m-%d') AS \"at\", CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2)"
+
+
+def user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's highest value and number of events of each type a day: many series of many lengths."""
+    e = t(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("of"), F.date_format(F.col("ts"), "yyyy-MM-dd").alias("at"), "value")
+    daily = e.groupBy("of", "at").agg(F.max("value").alias("v"), F.count("*").cast("double").alias("n"))
+    both = F.array(*(F.struct(F.concat(F.lit(f"{c}|"), "of").alias("series"), F.col(c).alias("value")) for c in ("v", "n")))
+    return daily.select("at", F.explode(both).alias("x")).select("x.series", "at", "x.value", F.col("at").alias("run_id"))
+
+
+#: ``u`` are its rows, ``r`` the same with runs from 0.
+_USERS = """d AS (SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS k, strftime(ts, '%Y-%m-%d') AS "at", max(value) AS v, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2),
+    u AS (SELECT 'v|' || k AS series, "at", v AS value FROM d UNION ALL SELECT 'n|' || k, "at", n FROM d),
+    r AS (SELECT series, CAST(row_number() OVER (PARTITION BY series ORDER BY "at") - 1 AS INTEGER) AS i, value FROM u)"""
