@@ -5,11 +5,12 @@ DEPTH at most. Three passes, each a job over all texts:
 
 1. words are counted by language (each batch counts first). Words of fewer than
    ``least`` occurrences can begin or end no frequent phrase.
-2. the pointers at frequent words are routed by language and their leading two
-   words; batches send equal pointers once, with their number. Where both
-   leading words are very frequent (HOT), the third takes part in the routing,
-   so that a frequent word pair is dealt over many tasks. A third word that is
-   infrequent ends the pointer: no phrase that holds it counts.
+2. the pointers at frequent words are routed by language and leading word;
+   batches send equal pointers once, with their number, those of a bucket packed
+   in one row. Where the leading word is very frequent (HOT), the second takes
+   part in the routing, and where both are, the third, so that a frequent word
+   or pair is dealt over many tasks. A third word that is infrequent ends the
+   pointer: no phrase that holds it counts.
 3. each bucket of about BUCKET pointers is sorted by multikey three-way
    quicksort, breadth first: every open partition is split by a pivot of its
    own into less, equal and greater, the equal part goes on with the next word,
@@ -18,12 +19,12 @@ DEPTH at most. Three passes, each a job over all texts:
 
 Which words are frequent or HOT is sent to the tasks as two bitmaps of FILTER
 bits, a fixed size; a word that meets a frequent one's bit is routed for
-nothing and abandoned later, one that meets a HOT one's bit is routed by three
-words in every task alike. Counts are exact; words are told apart by their
+nothing and abandoned later, one that meets a HOT one's bit is routed by more
+words, in every task alike. Counts are exact; words are told apart by their
 text, never by a hash.
 
-Pointers of a pair that is routed by two words are fewer than HOT, so a bucket
-is bounded; ranks are taken within hashed parts of a language before the whole.
+Pointers that are routed by one word or pair are fewer than HOT, so a bucket is
+bounded; ranks are taken within hashed parts of a language before the whole.
 
 Edge cases: null and empty texts have no pieces; a null language is ``und``;
 repeated rows count as often as they stand; equal scores go by count and then
@@ -38,10 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import LOWER, arrow_schema, bounded_batches, required, span_hashes, stored
+from plumbline.llm.shared import LOWER, arrow_schema, bounded_batches, mix, required, span_hashes, stored
 from plumbline.sources.scratch import Workspace
 
 DEPTH = 3
@@ -126,11 +129,16 @@ def _is_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+#: Pointers of one bucket, language and batch: the words of each (the third empty where the pointer has ended), a line a word, and how often it stands.
+_POINTERS = "bucket int, lang string, split boolean, words binary, weights binary"
+
+
 def _routed(frequent, hot, buckets: int):
     """Pointers by bucket; frequent and hot are broadcast bitmaps."""
-    out = arrow_schema("bucket int, lang string, w1 string, w2 string, w3 string, weight long, split boolean")
+    out = arrow_schema(_POINTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
             for lang, texts in by_language(batch):
                 words, piece = words_and_pieces(texts)
@@ -145,24 +153,39 @@ def _routed(frequent, hot, buckets: int):
                     continue
                 third = np.minimum(pointer + 2, len(codes) - 1)
                 goes_on = (pointer + 2 < len(codes)) & (piece[third] == piece[pointer]) & usual[third]
-                read = np.stack((codes[pointer], codes[pointer + 1], np.where(goes_on, codes[third], size)))
-                read, weight = _distinct(read, size + 1)
+                read, weight = _distinct(np.stack((codes[pointer], codes[pointer + 1], np.where(goes_on, codes[third], size))), size + 1)
                 split = very[read[0]] & very[read[1]]
-                name = span_hashes(np.frombuffer(f"{lang} ".encode(), np.uint8), np.array([0]), np.array([len(f"{lang} ".encode())]))
-                data = np.append(at, FILTER).astype(np.uint64)
-                route = name + data[read[0]] * np.uint64(0x9E3779B97F4A7C15) + data[read[1]] * np.uint64(0xC2B2AE3D27D4EB4F)
-                route += np.where(split, data[read[2]] * np.uint64(0x165667B19E3779F9), np.uint64(0))
-                route ^= route >> np.uint64(29)
-                route *= np.uint64(0xBF58476D1CE4E5B9)
-                route ^= route >> np.uint64(32)
-                taken = [known.take(pa.array(c, mask=c == size)) for c in read]
+                bucket = _bucket(lang, np.append(at, FILTER).astype(np.uint64)[read], very[read[0]], split, buckets)
+                order = np.lexsort((split, bucket))
+                read, weight, split, bucket = read[:, order], weight[order], split[order], bucket[order]
+                lines = pc.binary_join_element_wise(pa.concat_arrays([known, pa.array([""])]).take(pa.array(read.T.ravel())), "", "\n")
+                ends = np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1)[::3]
+                data = memoryview(lines.buffers()[2])
+                first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (split[1:] != split[:-1]))))
+                last = np.append(first[1:], len(bucket))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((route % np.uint64(buckets)).astype(np.int32)), pa.array([lang]).take(pa.array(np.zeros(len(weight), np.int32))), *taken, pa.array(weight), pa.array(split)], schema=out
+                    [
+                        pa.array(bucket[first].astype(np.int32)),
+                        pa.array([lang] * len(first)),
+                        pa.array(split[first]),
+                        pa.array([pack(data[ends[i] : ends[j]]) for i, j in zip(first, last, strict=True)], pa.binary()),
+                        pa.array([pack(weight[i:j].tobytes()) for i, j in zip(first, last, strict=True)], pa.binary()),
+                    ],
+                    schema=out,
                 )
 
     return run
 
 
+def _bucket(lang: str, places: np.ndarray, hot_first: np.ndarray, split: np.ndarray, buckets: int) -> np.ndarray:
+    """By language and first word; by the second too where the first is hot, by all three where both are."""
+    name = np.frombuffer(f"{lang} ".encode(), np.uint8)
+    route = span_hashes(name, np.array([0]), np.array([len(name)])) + places[0] * np.uint64(0x9E3779B97F4A7C15)
+    route = route + np.where(hot_first, places[1] * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
+    route = route + np.where(split, places[2] * np.uint64(0x165667B19E3779F9), np.uint64(0))
+    return (mix(route) % np.uint64(buckets)).astype(np.int64)
+
+
 def _distinct(read: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Equal columns of ``read`` (codes below ``size``) once, with their number."""
     if size < 2_000_000:
@@ -214,25 +237,33 @@ def three_way_sorted(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterat
 
 
 def _sorted_bucket(least: int):
-    out = arrow_schema("lang string, w1 string, w2 string, w3 string, f long, partial boolean")
+    out = arrow_schema("lang string, w1 string, w2 string, w3 string, f long")
 
     def run(bucket: pa.Table) -> pa.Table:
-        columns = [bucket.column(c).combine_chunks() for c in ("lang", "w1", "w2", "w3")]
-        coded = [c.dictionary_encode() if not isinstance(c, pa.ChunkedArray) else c.combine_chunks().dictionary_encode() for c in columns]
-        keys = np.stack([np.asarray(c.indices.fill_null(_NONE)).astype(np.int64) for c in coded])
-        weight = np.asarray(bucket.column("weight")).astype(np.int64)
-        split = np.asarray(bucket.column("split"))
+        unpack = zstandard.ZstdDecompressor().decompress
+        read = [unpack(x) for x in bucket.column("words").to_pylist()]
+        weights = [np.frombuffer(unpack(x), np.int64) for x in bucket.column("weights").to_pylist()]
+        data = np.frombuffer(b"".join(read), np.uint8)
+        line = data == 0x0A
+        offsets = np.concatenate(([0], np.flatnonzero(line) + 1 - np.arange(1, line.sum() + 1))).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[~line].tobytes())).dictionary_encode()
+        known, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64).reshape(-1, DEPTH).T
+        ended = pc.index(known, "").as_py()
+        codes = np.where(codes == ended, _NONE, codes)
+        each = [len(w) for w in weights]
+        langs = bucket.column("lang").combine_chunks().dictionary_encode()
+        keys = np.concatenate((np.repeat(np.asarray(langs.indices).astype(np.int64), each)[None], codes))
+        weight, split = np.concatenate(weights), np.repeat(np.asarray(bucket.column("split")), each)
         rows = []
         # pairs that other buckets hold too are summed later, whatever their weight here
         for which, low in ((np.flatnonzero(~split), least), (np.flatnonzero(split), 1)):
             for depth, sample, total in three_way_sorted(keys[:, which], weight[which], low):
-                if depth < 2 or (depth == 3 and low < least):
-                    keep = total >= least if depth == 3 else np.zeros(len(total), bool)
-                    sample, total = sample[keep], total[keep]
-                if len(sample):
-                    at = pa.array(which[sample])
-                    third = columns[3].take(at) if depth == 3 else pa.nulls(len(at), pa.string())
-                    rows.append(pa.RecordBatch.from_arrays([*(c.take(at) for c in columns[:3]), third, pa.array(total), pa.array([low < least and depth == 2] * len(at))], schema=out))
+                keep = total >= (low if depth == 2 else least)
+                if depth >= 2 and keep.any():
+                    at = which[sample[keep]]
+                    w = [known.take(pa.array(keys[d, at])) for d in range(1, depth + 1)]
+                    third = w[2] if depth == 3 else pa.nulls(len(at), pa.string())
+                    rows.append(pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys[0, at])), w[0], w[1], third, pa.array(total[keep])], schema=out))
         return pa.Table.from_batches(rows, schema=out)
 
     return run
@@ -249,8 +280,8 @@ def phrase_counts(docs: DataFrame, least: int, space: Workspace, lang_col: str =
     frequent = spark.sparkContext.broadcast(word_filter(words.filter("word is not null").select("word")))
     hot = spark.sparkContext.broadcast(word_filter(words.filter((F.col("n") >= HOT) & F.col("word").isNotNull()).select("word")))
     buckets = max(1, total // BUCKET)
-    pointers = texts.mapInArrow(_routed(frequent, hot, buckets), "bucket int, lang string, w1 string, w2 string, w3 string, weight long, split boolean")
-    found = pointers.groupBy("bucket").applyInArrow(_sorted_bucket(least), "lang string, w1 string, w2 string, w3 string, f long, partial boolean")
+    pointers = texts.mapInArrow(_routed(frequent, hot, buckets), _POINTERS)
+    found = pointers.groupBy("bucket").applyInArrow(_sorted_bucket(least), "lang string, w1 string, w2 string, w3 string, f long")
     phrases = found.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return words, space.stored(phrases, "phrases")
 
