@@ -9,7 +9,8 @@ DEPTH at most. Three passes, each a job over all texts:
    batches send equal pointers once, with their number, those of a bucket packed
    in one row. Where the leading word is very frequent (HOT), the second takes
    part in the routing, and where both are, the third, so that a frequent word
-   or pair is dealt over many tasks. A third word that is infrequent ends the
+   or pair is dealt over many tasks (such a pair goes once more by itself, as one
+   pointer a batch, and is counted where that goes). A third word that is infrequent ends the
    pointer: no phrase that holds it counts.
 3. each bucket of about BUCKET pointers is sorted by multikey three-way
    quicksort, breadth first: every open partition is split by a pivot of its
@@ -155,6 +156,11 @@ def _routed(frequent, hot, buckets: int):
                 goes_on = (pointer + 2 < len(codes)) & (piece[third] == piece[pointer]) & usual[third]
                 read, weight = _distinct(np.stack((codes[pointer], codes[pointer + 1], np.where(goes_on, codes[third], size))), size + 1)
                 split = very[read[0]] & very[read[1]]
+                # pairs whose pointers are dealt by three words go once more by themselves, to be counted in one place
+                pair, at_pair = np.unique(read[0, split] * size + read[1, split], return_inverse=True)
+                read = np.concatenate((read, np.stack((pair // size, pair % size, np.full(len(pair), size)))), axis=1)
+                weight = np.concatenate((weight, np.bincount(at_pair, weight[split], len(pair)).astype(np.int64)))
+                split = np.concatenate((split, np.zeros(len(pair), bool)))
                 bucket = _bucket(lang, np.append(at, FILTER).astype(np.uint64)[read], very[read[0]], split, buckets)
                 order = np.lexsort((split, bucket))
                 read, weight, split, bucket = read[:, order], weight[order], split[order], bucket[order]
@@ -255,15 +261,14 @@ def _sorted_bucket(least: int):
         keys = np.concatenate((np.repeat(np.asarray(langs.indices).astype(np.int64), each)[None], codes))
         weight, split = np.concatenate(weights), np.repeat(np.asarray(bucket.column("split")), each)
         rows = []
-        # pairs that other buckets hold too are summed later, whatever their weight here
-        for which, low in ((np.flatnonzero(~split), least), (np.flatnonzero(split), 1)):
-            for depth, sample, total in three_way_sorted(keys[:, which], weight[which], low):
-                keep = total >= (low if depth == 2 else least)
-                if depth >= 2 and keep.any():
-                    at = which[sample[keep]]
+        # of pointers dealt by three words only whole phrases are counted here
+        for which, shortest in ((np.flatnonzero(~split), 2), (np.flatnonzero(split), 3)):
+            for depth, sample, total in three_way_sorted(keys[:, which], weight[which], least):
+                if depth >= shortest:
+                    at = which[sample]
                     w = [known.take(pa.array(keys[d, at])) for d in range(1, depth + 1)]
                     third = w[2] if depth == 3 else pa.nulls(len(at), pa.string())
-                    rows.append(pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys[0, at])), w[0], w[1], third, pa.array(total[keep])], schema=out))
+                    rows.append(pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys[0, at])), w[0], w[1], third, pa.array(total)], schema=out))
         return pa.Table.from_batches(rows, schema=out)
 
     return run
@@ -282,8 +287,7 @@ def phrase_counts(docs: DataFrame, least: int, space: Workspace, lang_col: str =
     buckets = max(1, total // BUCKET)
     pointers = texts.mapInArrow(_routed(frequent, hot, buckets), _POINTERS)
     found = pointers.groupBy("bucket").applyInArrow(_sorted_bucket(least), "lang string, w1 string, w2 string, w3 string, f long")
-    phrases = found.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return words, space.stored(phrases, "phrases")
+    return words, space.stored(found, "phrases")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
