@@ -54,7 +54,7 @@ LEAST, MOST = 10, 2000
 #: A candidate goes where a longer one makes up so many percent of its occurrences.
 COVERED = 50
 #: Bits of the word filters; occurrences from which a word is hot; pointers of a bucket; parts of a language that are ranked first.
-FILTER, HOT, BUCKET, PARTS = 1 << 24, 100_000, 1 << 16, 64
+FILTER, HOT, BUCKET, PARTS = 1 << 24, 100_000, 1 << 19, 64
 
 _WORD, _BLANK, _CUT = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
