@@ -550,4 +550,4 @@ def semantic_shares_pages(spark, sf_dir):
 
 
 # these register their own
-from plumbline.plans import forecasts, linkage, reports  # noqa: E402, F401
+from plumbline.plans import adjustments, forecasts, hierarchy, linkage, reports  # noqa: E402, F401
