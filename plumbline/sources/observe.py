@@ -1,8 +1,9 @@
 """Tables observed without reading their rows: what the footers of Parquet files hold.
 
-Counts and extremes are answered from footers by Spark's aggregate push-down;
-no data page is read. That holds for numbers, dates and flags; of other columns
-only the type is given, and freshness by a timestamp reads that one column.
+Counts and extremes of numbers, dates and flags are answered from footers by
+Spark's aggregate push-down; no data page is read. A column with nulls may have
+row groups without extremes, so its extremes are read from that column alone.
+Of columns of other types only the type is given.
 """
 
 from __future__ import annotations
@@ -34,39 +35,41 @@ def _pushed_down(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def _from_footers(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    df = spark.read.parquet(path)
-    columns = [c for c, kind in df.dtypes if kind in _KINDS]
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for c in columns:
-        quoted = F.col(f"`{c}`")
-        aggregates += [F.count(quoted).alias(f"filled_{c}"), F.min(quoted).alias(f"least_{c}"), F.max(quoted).alias(f"most_{c}")]
-    return df.agg(*aggregates), columns
+def _counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"filled_{c}") for c in columns))
 
 
-def plan(spark: SparkSession, path: str) -> str:
-    """How the footers are read: the scan names what is pushed down to it."""
+def _extremes(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.agg(*(f(F.col(f"`{c}`")).alias(f"{name}_{c}") for c in columns for name, f in (("least", F.min), ("most", F.max))))
+
+
+def _known(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if kind in _KINDS]
+
+
+def plans(spark: SparkSession, path: str) -> tuple[str, str]:
+    """How footers are read for counts and for extremes: the scans name what is pushed down to them."""
     with _pushed_down(spark):
-        return _from_footers(spark, path)[0]._jdf.queryExecution().toString()
+        df = spark.read.parquet(path)
+        return tuple(x._jdf.queryExecution().toString() for x in (_counts(df, _known(df)), _extremes(df, _known(df))))
 
 
 def observed(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of a table of Parquet files: name, type, position, row_count, and where footers tell it how many are filled, the least and the most.
+    """Columns of a table of Parquet files: name, type, position, row_count, and where the type allows it how many are filled, the least and the most.
 
-    One row a column, whatever the table holds. Files whose writer left no statistics
-    are an error of Spark's, which names the file. A table without files can't
-    be read; one without rows has counts of 0 and no extremes.
+    One row a column, whatever the table holds. Files whose writer left no
+    statistics of a column without nulls are an error of Spark's, which names the
+    file. A table without rows has counts of 0 and no extremes.
     """
     with _pushed_down(spark):
-        aggregate, columns = _from_footers(spark, path)
-        kinds = spark.read.parquet(path).dtypes
-        row = aggregate.first()
-    known = set(columns)
+        df = spark.read.parquet(path)
+        row = _counts(df, _known(df)).first().asDict()
+        full = [c for c in _known(df) if row[f"filled_{c}"] == row["n"] > 0]
+        row |= _extremes(df, full).first().asDict() if full else {}
+    gaps = [c for c in _known(df) if 0 < row[f"filled_{c}"] < row["n"]]
+    row |= _extremes(spark.read.parquet(path), gaps).first().asDict() if gaps else {}
     said = lambda x: None if x is None else str(x)
-    rows = [
-        (c, kind, k, row["n"], row[f"filled_{c}"], said(row[f"least_{c}"]), said(row[f"most_{c}"])) if c in known else (c, kind, k, row["n"], None, None, None)
-        for k, (c, kind) in enumerate(kinds, 1)
-    ]
+    rows = [(c, kind, k, row["n"], row.get(f"filled_{c}"), said(row.get(f"least_{c}")), said(row.get(f"most_{c}"))) for k, (c, kind) in enumerate(df.dtypes, 1)]
     return spark.createDataFrame(rows, _SCHEMA)
 
 
