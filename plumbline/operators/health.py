@@ -76,16 +76,18 @@ def health_profile(df: DataFrame) -> DataFrame:
 
 
 def value_measures(df: DataFrame) -> DataFrame:
-    """column_name, row_count, extremes (of numbers and of texts), signs, and how many texts are numbers."""
+    """column_name, row_count, extremes (of numbers, and of texts; dates and times as texts in order), signs, and how many texts are numbers."""
 
     def of(f: T.StructField) -> dict[str, Column]:
         c, number, text = F.col(f"`{f.name}`"), is_numeric(f.dataType), isinstance(f.dataType, T.StringType)
+        time = "yyyy-MM-dd" if isinstance(f.dataType, T.DateType) else "yyyy-MM-dd HH:mm:ss.SSSSSS" if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else None
         none = lambda kind: F.lit(None).cast(kind)
+        said = lambda x: x if text else F.date_format(x, time) if time else none("string")
         return {
             "min_value": F.min(c).cast("double") if number else none("double"),
             "max_value": F.max(c).cast("double") if number else none("double"),
-            "min_text": F.min(c) if text else none("string"),
-            "max_text": F.max(c) if text else none("string"),
+            "min_text": said(F.min(c)),
+            "max_text": said(F.max(c)),
             "positive_count": F.count_if(c > 0) if number else none("long"),
             "negative_count": F.count_if(c < 0) if number else none("long"),
             "numeric_texts": F.count_if(c.rlike(NUMBER)) if text else none("long"),

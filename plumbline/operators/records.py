@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
-from plumbline.sources.scratch import stored
+from plumbline.sources.scratch import Workspace
 
 
 def record_id(fields: list[str]) -> Column:
@@ -72,7 +72,8 @@ def cluster(df: DataFrame, id_col: str, block: Column, fields: dict[str, str], l
     a, b = grouped.alias("a"), grouped.alias("b")
     mean = sum((similarity(k, F.col(f"a.{c}"), F.col(f"b.{c}")) for c, k in fields.items()), F.lit(0.0)) / len(fields)
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep"))).filter(mean >= least).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    labels = connected_components(stored(pairs, "pairs"))
+    with Workspace(df.sparkSession) as space:
+        labels = connected_components(space.stored(pairs, "pairs"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in names]
     joined = df.withColumn("block", block).alias("r").join(grouped.alias("g"), [F.col("r.block").eqNullSafe(F.col("g.block")), *same])
     return joined.join(labels, F.col("g.rep") == F.col("node"), "left").select(F.col(f"r.{id_col}").alias(id_col), F.coalesce("component", "g.rep").alias("cluster_id"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import operator
 import re
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -110,17 +109,19 @@ def pass_statistics(scores: DataFrame, by: list[str], least: float) -> DataFrame
 
 
 def cross_source(frames: dict[str, DataFrame], query: str) -> DataFrame:
-    """A user's SQL over named frames, written ``@name`` in it."""
-    spark, names = next(iter(frames.values())).sparkSession, {}
-    for name, df in frames.items():
-        names[name] = f"source_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(names[name])
-    return spark.sql(re.sub(r"@(\w+)", lambda m: names.get(m[1], m[0]), query))
+    """A user's SQL over named frames, written ``@name`` in it (not within quotes). The session keeps no view of them."""
+    spark = next(iter(frames.values())).sparkSession
+    # quoted texts and names as they are, frames as arguments of the query
+    parts = re.split(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""", query)
+    bare = lambda x: x.replace("{", "{{").replace("}", "}}")
+    named = (bare(x) if k % 2 else re.sub(r"@(\w+)", lambda m: f"{{source_{m[1]}}}" if m[1] in frames else m[0], bare(x)) for k, x in enumerate(parts))
+    return spark.sql("".join(named), **{f"source_{name}": df for name, df in frames.items()})
 
 
 def upserted(stored_rows: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows of ``fresh`` replace stored ones of equal key, others are added; fresh rows have one row a key."""
-    return stored_rows.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    """Rows of ``fresh`` replace stored ones of equal key (a null key equals a null one), others are added; fresh rows have one row a key."""
+    old, new = stored_rows.alias("old"), fresh.select(key).alias("new")
+    return old.join(new, F.col(f"old.{key}").eqNullSafe(F.col(f"new.{key}")), "left_anti").unionByName(fresh)
 
 
 def retained(df: DataFrame, history: DataFrame, runs: int) -> DataFrame:

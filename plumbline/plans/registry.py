@@ -304,7 +304,22 @@ def ewma_events(spark, sf_dir):
     return history.ewma(daily_history(spark, sf_dir))
 
 
-@query()
+#: 0.99 quantiles of Student's t, by degrees of freedom.
+_T = ", ".join(f"({df}, {history.t_quantile(0.99, df)!r})" for df in range(1, 61))
+
+
+@query(
+    f"""WITH {_HISTORY}, r AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY "at") - 1 AS i, value FROM h),
+    s AS (SELECT series, count(*) AS n, min(value) AS low, max(value) AS high, avg(value) AS mean FROM r GROUP BY 1),
+    w AS (SELECT r.series, r.i, any_value(r.value) AS value, avg(o.value) AS m, list(o.value) AS near FROM r JOIN r o ON o.series = r.series AND o.i BETWEEN r.i - 10 AND r.i + 10 GROUP BY 1, 2),
+    c AS (SELECT w.series, CASE WHEN n > 5 AND i < CAST(floor(n * 0.8) AS BIGINT) AND abs(value - m) > 3 * 1.4826 * list_avg([abs(v - m) FOR v IN near]) THEN m ELSE value END AS value FROM w JOIN s ON s.series = w.series),
+    t(df, q) AS (VALUES {_T}),
+    b AS (SELECT s.series, n, low, high, s.mean, avg(c.value) AS m, stddev_samp(c.value) AS std FROM c JOIN s ON s.series = c.series GROUP BY 1, 2, 3, 4, 5),
+    d AS (SELECT b.*, m - q * std / sqrt(n) - CASE WHEN std < 10 THEN std ELSE 0 END AS lo, m + q * std / sqrt(n) + CASE WHEN std < 10 THEN std ELSE 0 END AS up FROM b LEFT JOIN t ON df = n - 1),
+    e AS (SELECT series, CASE WHEN low = high THEN 'constant' WHEN n <= 3 THEN 'short' ELSE 't_interval' END AS model,
+          CASE WHEN low = high THEN trunc(low) WHEN n <= 3 THEN low WHEN low >= 0 THEN greatest(floor(lo), 0) ELSE floor(lo) END AS lo, CASE WHEN low = high THEN trunc(low) WHEN n <= 3 THEN mean WHEN high <= 0 THEN least(ceil(up), 0) ELSE ceil(up) END AS up FROM d)
+    SELECT series, model, least(lo, up) AS lower, greatest(lo, up) AS upper FROM e"""
+)
 def thresholds_events(spark, sf_dir):
     return history.thresholds(daily_history(spark, sf_dir))
 
@@ -390,7 +405,7 @@ def _values_sql(table: str, columns: dict[str, str]) -> str:
     out = []
     for c, k in columns.items():
         number = lambda x: f"CAST({x} AS DOUBLE)" if k == "n" else "CAST(NULL AS DOUBLE)"  # noqa: B023, E731
-        text = lambda x: x if k == "s" else "CAST(NULL AS VARCHAR)"  # noqa: B023, E731
+        text = lambda x: x if k == "s" else f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')" if k == "t" else "CAST(NULL AS VARCHAR)"  # noqa: B023, E731
         count = lambda x, kind: f"count(*) FILTER ({x})" if k == kind else "CAST(NULL AS BIGINT)"  # noqa: B023, E731
         out.append(
             f"SELECT '{c}' AS column_name, count(*) AS row_count, {number(f'min({c})')} AS min_value, {number(f'max({c})')} AS max_value, {text(f'min({c})')} AS min_text, {text(f'max({c})')} AS max_text, "
@@ -399,7 +414,7 @@ def _values_sql(table: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(out)
 
 
-@query(_values_sql("lineitem", _LINEITEM))
+@query(_values_sql("lineitem", _LINEITEM | {"l_shipdate": "t"}))
 def values_lineitem(spark, sf_dir):
     return health.value_measures(t(spark, sf_dir, "lineitem"))
 

@@ -63,7 +63,7 @@ def observed(spark: SparkSession, path: str) -> DataFrame:
     """
     with _pushed_down(spark):
         df = spark.read.parquet(path)
-        row = _counts(df, _known(df)).first().asDict()
+        row = {k: v or 0 for k, v in _counts(df, _known(df)).first().asDict().items()}  # no files: null
         full = [c for c in _known(df) if row[f"filled_{c}"] == row["n"] > 0]
         row |= _extremes(df, full).first().asDict() if full else {}
     gaps = [c for c in _known(df) if 0 < row[f"filled_{c}"] < row["n"]]

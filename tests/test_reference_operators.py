@@ -10,6 +10,8 @@ from plumbline.plans import registry
 from plumbline.sources import files
 
 SF = "/root/testdata/sf0.001"
+#: The SQL is compared where the tables are large enough to tell.
+SQL_SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
@@ -17,7 +19,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def duck():
     con = duckdb.connect()
     for n in TABLES:
-        con.execute(f"create view {n} as select * from read_parquet('{SF}/{n}.parquet')")
+        con.execute(f"create view {n} as select * from read_parquet('{SQL_SF}/{n}.parquet')")
     return con
 
 
@@ -27,7 +29,7 @@ def _rows(rows):
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    got = registry.queries()[name](spark, SF)
+    got = registry.queries()[name](spark, SQL_SF)
     names = sorted(got.columns)
     cursor = duck.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
@@ -158,3 +160,22 @@ def test_metrics_of_a_run_replace_themselves(spark, tmp_path):
     files.write_metrics(one, path)
     files.write_metrics(spark.createDataFrame([("r2", 3.0)], "run_id string, value double"), path)
     assert sorted((r.run_id, r.value) for r in spark.read.parquet(path).collect()) == [("r1", 1.0), ("r2", 3.0)]
+
+
+def test_null_keys_are_replaced(spark):
+    old = spark.createDataFrame([(None, "old"), (1, "old"), (2, "old")], "k int, v string")
+    new = spark.createDataFrame([(None, "new"), (2, "new"), (3, "new")], "k int, v string")
+    assert sorted(map(tuple, rules.upserted(old, new, "k").collect()), key=str) == sorted([(None, "new"), (1, "old"), (2, "new"), (3, "new")], key=str)
+
+
+def test_cross_source_leaves_quotes_and_the_session_alone(spark):
+    a = spark.createDataFrame([(1, "@a {x}")], "i int, s string")
+    before = len(spark.catalog.listTables())
+    got = rules.cross_source({"a": a, "b": a}, "SELECT x.i, x.s = '@a {x}' AS same, '@b it''s @other' AS t FROM @a x JOIN @b y ON x.i = y.i")
+    assert [tuple(r) for r in got.collect()] == [(1, True, "@b it's @other")] and len(spark.catalog.listTables()) == before
+
+
+def test_extremes_of_dates_and_times(spark):
+    df = spark.sql("SELECT DATE '2024-02-03' AS d, TIMESTAMP '2024-01-01 10:00:00.5' AS t UNION ALL SELECT DATE '2023-12-31', NULL")
+    got = {r.column_name: (r.min_text, r.max_text, r.min_value) for r in health.value_measures(df).collect()}
+    assert got == {"d": ("2023-12-31", "2024-02-03", None), "t": ("2024-01-01 10:00:00.500000", "2024-01-01 10:00:00.500000", None)}
