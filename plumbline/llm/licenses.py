@@ -2,24 +2,25 @@
 
 1. Every file's words that any template has (without stop words, which are
    wildcards in templates) are kept with their positions: one pass over texts.
-2. Their document frequencies over all files give IDFs. A template's two rarest
-   words are its anchors; the index holds these alone, each with the templates
-   and positions at which it stands.
-3. A file's rarest licence words are looked up in the index, each giving places
-   where a template may begin. Only for such places the template's other
-   postings are intersected with the file's words by relative position. A place
-   counts if all words of the template's mandatory key phrase stand there and
-   the matched words have SHARE of the template's IDF.
+2. Their document frequencies over all files and templates give IDFs. The index
+   holds each template under the rarest word of its mandatory key phrase (the
+   longer of equally rare ones): that word stands at every place that counts, so
+   nothing is lost by looking for no other.
+3. Each file's words that the index has give the places where a template may
+   begin. There the template's postings are intersected with the file's words
+   around by relative position: a place counts if all words of the key phrase
+   stand there and the matched words have SHARE of the template's IDF.
 
 The base phrases are templates whose key phrase is all of them, so every place
-is found: an anchor stands in it. Rows of the join are single positions of
-files, so nothing is hot; the index is a literal of a few dozen words.
+is found. All of it is done within the row of a file, against a literal of the
+templates: nothing is exchanged but counts of words, and nothing is hot. A
+place costs as many steps as a template is long, whatever the file's length.
 
 Edge cases: null text counts as empty; files without words or places have null
 first_word and last_word, empty labels and score 0; overlapping places all
-count; repeated rows are scanned each; ties between words go to the smaller
-word; an empty table gives no rows; columns other than id and text are not
-read.
+count; repeated rows are scanned each; null ids stay null; an empty table gives
+no rows; columns other than id and text are not read. Very long texts are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import required, stored
-from plumbline.sources.scratch import Workspace
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Label, base phrases.
@@ -99,39 +99,63 @@ def _library() -> list[tuple[str, bool, list[str], set[int]]]:
 
 
 def _scanned(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Per file: words, and those of the vocabulary with their positions."""
+    """Per file: words, and those of the vocabulary with their positions, in order."""
     words = texts.select("id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     hits = F.filter(
         F.transform("words", lambda w, i: F.when(F.lower(w).isin(vocabulary), F.struct(F.translate(w, _UPPER, _LOWER).alias("w"), i.alias("i")))),
         lambda x: x.isNotNull(),
     )
-    return words.select(F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    return words.select("id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
-def _weighted(library, idf: dict[str, float]) -> list[list[tuple[int, str, float, bool]]]:
-    """Per template its words but stop words: position, word, share of the template's IDF, whether an anchor."""
+def document_frequencies(library, seen: dict[str, int]) -> dict[str, int]:
+    """In how many files and templates each word stands."""
+    out = dict(seen)
+    for _, _, words, _ in library:
+        for w in set(words) - STOP:
+            out[w] = out.get(w, 0) + 1
+    return out
+
+
+def _weighted(library, df: dict[str, int], total: int) -> list[list[tuple[int, str, float]]]:
+    """Per template its words but stop words: position, word, share of the template's IDF."""
     found = []
     for _, _, words, _ in library:
-        own = [(i, w) for i, w in enumerate(words) if w not in STOP]
-        total = sum(idf[w] for _, w in own)
-        anchors = {w for _, w in sorted({(-idf[w], w) for _, w in own})[:2]}
-        found.append([(i, w, idf[w] / total, w in anchors) for i, w in own])
+        own = [(i, w, math.log(1 + (total + 1) / (df[w] + 1))) for i, w in enumerate(words) if w not in STOP]
+        whole = sum(x for _, _, x in own)
+        found.append([(i, w, x / whole) for i, w, x in own])
     return found
 
 
-def _index(weighted) -> Column:
+def anchors(library, df: dict[str, int]) -> list[tuple[str, int]]:
+    """Per template the rarest word of its key phrase, and where it stands in the template."""
+    out = []
+    for _, _, words, key in library:
+        rarest = min((words[i] for i in key if words[i] not in STOP), key=lambda w: (df[w], -len(w), w))
+        out.append((rarest, min(i for i in key if words[i] == rarest)))
+    return out
+
+
+def _index(anchored: list[tuple[str, int]]) -> Column:
     """Anchor -> where it stands in templates: (template, position)."""
     postings: dict[str, list[Column]] = {}
-    for t, own in enumerate(weighted):
-        for i, w, _, anchor in own:
-            if anchor:
-                postings.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(i).alias("p")))
+    for t, (w, p) in enumerate(anchored):
+        postings.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")))
     return F.create_map(*(x for w, p in postings.items() for x in (F.lit(w), F.array(*p))))
 
 
-def _positions(library, weighted) -> Column:
-    """Per template its words: position, word, share of IDF, whether of the key phrase."""
-    one = lambda t: F.array(*(F.struct(F.lit(i).alias("p"), F.lit(w).alias("w"), F.lit(g).alias("g"), F.lit(int(i in library[t][3])).alias("k")) for i, w, g, _ in weighted[t]))
+def _templates(library, weighted) -> Column:
+    """Per template, by position: word (null: a wildcard), share of IDF, whether of the key phrase; and its length, label and kind."""
+
+    def one(t: int) -> Column:
+        label, base, words, key = library[t]
+        at = {i: (w, g) for i, w, g in weighted[t]}
+        column = lambda f, kind: F.array(*(F.lit(f(i)).cast(kind) for i in range(len(words))))
+        return F.struct(
+            column(lambda i: at[i][0] if i in at else None, "string").alias("words"), column(lambda i: at[i][1] if i in at else 0.0, "double").alias("shares"), column(lambda i: int(i in key and i in at), "int").alias("keys"),
+            F.lit(len(words)).alias("length"), F.lit(sum(i in at for i in key)).alias("n_keys"), F.lit(label).alias("label"), F.lit(base).alias("base"),
+        )
+
     return F.array(*map(one, range(len(library))))
 
 
@@ -144,49 +168,46 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     library = _library()
     vocabulary = sorted({w for _, _, words, _ in library for w in words} - STOP)
     texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    with Workspace(docs.sparkSession) as space:
-        return stored(_found(library, space.stored(_scanned(texts, vocabulary), "files"), vocabulary), "licences").withColumnRenamed("id", id_col)
+    files = stored(_scanned(texts, vocabulary), "licences")
+    return _found(library, files).withColumnRenamed("id", id_col)
 
 
-def _found(library, files: DataFrame, vocabulary: list[str]) -> DataFrame:
+def _places(library, anchored, weighted) -> Column:
+    """The verified places of a file: start, share, label, base."""
+    templates, index, held = _templates(library, weighted), _index(anchored), sorted({w for w, _ in anchored})
+    reach = max(len(words) for _, _, words, _ in library)
 
-    total = files.count()
+    def place(h: Column, k: Column, x: Column) -> Column:
+        start, t = h.i - x.p, F.get(templates, x.t)
+
+        def add(acc: Column, other: Column) -> Column:
+            p = other.i - start
+            met = (p >= 0) & (p < t.length) & (F.get(t.words, F.greatest(p, F.lit(0))) == other.w)
+            return F.struct((acc.share + F.when(met, F.get(t.shares, p)).otherwise(0.0)).alias("share"), (acc["keys"] + F.when(met, F.get(t["keys"], p)).otherwise(0)).alias("keys"))
+
+        around = F.slice("hits", F.greatest(k + 2 - reach, F.lit(1)), F.lit(2 * reach))
+        met = F.aggregate(around, F.struct(F.lit(0.0).alias("share"), F.lit(0).alias("keys")), add)
+        return F.struct(start.alias("start"), F.least(met.share, F.lit(1.0)).alias("share"), ((met["keys"] == t.n_keys) & (met.share >= SHARE)).alias("holds"), t.label.alias("label"), t.base.alias("base"))
+
+    begun = F.transform("hits", lambda h, k: F.when(h.w.isin(held), F.transform(F.element_at(index, h.w), lambda x: place(h, k, x))))
+    return F.filter(F.flatten(F.filter(begun, lambda x: x.isNotNull())), lambda x: x.holds)
+
+
+def _found(library, files: DataFrame) -> DataFrame:
+    total = files.count() + len(library)
     counted = files.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").count()
-    seen = {r.w: r["count"] for r in counted.collect()}  # a row per template word at most
-    idf = {w: math.log(1 + (total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
-
-    def per_template(values) -> Column:
-        return F.array(*(F.lit(v) for v in values))
-
-    weighted = _weighted(library, idf)
-    held = files.select("row", F.explode("hits").alias("h")).select("row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
-    anchors = sorted({w for own in weighted for _, w, _, anchor in own if anchor})
-    looked_up = held.filter(F.col("w").isin(anchors)).select("row", "i", F.explode(F.element_at(_index(weighted), F.col("w"))).alias("x"))
-    begins = looked_up.select("row", "x.t", (F.col("i") - F.col("x.p")).alias("start")).distinct()
-    asked = begins.select("row", "t", "start", F.explode(F.get(_positions(library, weighted), F.col("t"))).alias("x"))
-    placed = asked.select("row", (F.col("start") + F.col("x.p")).alias("i"), "x.w", "t", "start", "x.g", "x.k").join(held, ["row", "i", "w"])
-    places = (
-        placed.groupBy("row", "t", "start")
-        .agg(F.sum("g").alias("share"), F.sum("k").alias("keys"))
-        .filter((F.col("keys") == F.get(per_template(len(x[3]) for x in library), F.col("t"))) & (F.col("share") >= SHARE))
-        .select("row", "start", F.least("share", F.lit(1.0)).alias("share"), F.get(per_template(x[0] for x in library), F.col("t")).alias("label"), F.get(per_template(x[1] for x in library), F.col("t")).alias("base"))
-    )
-    base = F.col("base")
-    of_file = places.groupBy("row").agg(
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"),
-    )
-    return files.select("row", "id", "n_words").join(of_file, "row", "left").select(
+    df = document_frequencies(library, {r.w: r["count"] for r in counted.collect()})  # a row per template word at most
+    placed = files.select("id", "n_words", _places(library, anchors(library, df), _weighted(library, df, total)).alias("places"))
+    base = F.filter("places", lambda x: x.base)
+    named = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda p: p.label))), ",")
+    starts = F.transform("base", lambda x: x.start)
+    return placed.withColumn("base", base).select(
         "id",
         "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        "first_word",
-        "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        named(F.col("base")).alias("base_labels"),
+        named(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda x: x.share)), F.lit(0.0)).alias("score"),
     )

@@ -31,27 +31,46 @@ def test_repeated_rows_and_empty_table(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_notices_and_their_plain_version(spark):
-    """The method's labels and scores against a plain scan of all places, on notices with words missing."""
-    r = random.Random(4)
-    texts = []
-    for _, text, _ in licenses.TEMPLATES:
-        w = text.split()
-        for lost in (0, 1, 3, len(w) // 4, len(w) // 2):
-            texts.append("Some file.\n" + " ".join(x.capitalize() for i, x in enumerate(w) if i not in set(r.sample(range(len(w)), lost))) + " End. All rights reserved")
-    got = {x.doc_id: x for x in licenses.license_scan(spark.createDataFrame([(i, t, "en", 1, "k") for i, t in enumerate(texts)], SCHEMA)).collect()}
-    words = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) for t in texts]
+def plain(texts):
+    """Labels and best score of each text: every template at every place, without any index."""
+    words = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(brute.LOWER)) for t in texts]
     library = licenses._library()
-    vocabulary = sorted({w for _, _, own, _ in library for w in own} - licenses.STOP)
-    idf = {v: math.log(1 + (len(texts) + 1) / (sum(v in w for w in words) + 1)) for v in vocabulary}
-    weighted = licenses._weighted(library, idf)
-    for n, w in enumerate(words):
+    seen = {v: sum(v in w for w in words) for v in {x for _, _, own, _ in library for x in own} - licenses.STOP}
+    weighted = licenses._weighted(library, licenses.document_frequencies(library, seen), len(texts) + len(library))
+    for w in words:
         labels, best = set(), 0.0
-        for (label, _, own, key), entries in zip(library, weighted):
+        for (label, _, own, key), entries in zip(library, weighted, strict=True):
             for start in range(-len(own), len(w)):
-                there = [(i, g, a) for i, x, g, a in entries if 0 <= start + i < len(w) and w[start + i] == x]
-                if any(a for _, _, a in there) and key <= {i for i, _, _ in there} and sum(g for _, g, _ in there) >= licenses.SHARE:
+                there = {i: g for i, x, g in entries if 0 <= start + i < len(w) and w[start + i] == x}
+                if {i for i in key if own[i] not in licenses.STOP} <= set(there) and sum(there.values()) >= licenses.SHARE:
                     labels.add(label)
-                    best = max(best, min(1.0, sum(g for _, g, _ in there)))
-        assert got[n].labels == ",".join(sorted(labels)) and abs(got[n].score - best) < 1e-9, texts[n]
-    assert all(got[5 * i].score > 0.999 and label in got[5 * i].labels.split(",") for i, (label, _, _) in enumerate(licenses.TEMPLATES))
+                    best = max(best, min(1.0, sum(there.values())))
+        yield ",".join(sorted(labels)), best
+
+
+def test_notices_and_their_plain_version(spark):
+    """On notices with words replaced: any at random, and up to 40 % of those beside the key phrase."""
+    r = random.Random(4)
+    texts = ["under the terms of the GNU Lesser General Public License as published by the FSF"]
+    library = [x for x in licenses._library() if not x[1]]
+    for _, _, w, key in library:
+        beside = [i for i in range(len(w)) if i not in range(min(key), max(key) + 1)]
+        for lost in (0, 1, len(w) // 4, len(w) // 2):
+            texts.append(" ".join("zzz" if i in set(r.sample(range(len(w)), lost)) else x.capitalize() for i, x in enumerate(w)) + ". All rights reserved")
+        for share in (0.2, 0.4):
+            gone = set(r.sample(beside, int(share * len(beside))))
+            texts.append("Some file.\n" + " ".join("zzz" if i in gone else x.upper() for i, x in enumerate(w)) + " End.")
+    texts += ["reserved " * 3000 + "all rights reserved", None, "", " ".join(library[1][2]) * 2]
+    got = {x.doc_id: x for x in licenses.license_scan(spark.createDataFrame([(i, t, "en", 1, "k") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    for n, (labels, best) in enumerate(plain(texts)):
+        assert got[n].labels == labels and abs(got[n].score - best) < 1e-9, texts[n]
+    assert "lgpl" in got[0].labels.split(",")
+    whole = range(1, 1 + 6 * len(library), 6)
+    assert all(got[i].score > 0.999 and x[0] in got[i].labels.split(",") for i, x in zip(whole, library, strict=True))
+
+
+def test_null_ids_and_no_python(spark):
+    df = spark.createDataFrame([(None, "cc by", "en", 1, "k"), (None, "all rights reserved", "en", 1, "k")], SCHEMA)
+    got = licenses.license_scan(df)
+    assert sorted((r.doc_id, r.labels) for r in got.collect()) == [(None, "cc-by"), (None, "reserved")]
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Exchange"))
