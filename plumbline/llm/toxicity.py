@@ -261,9 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bounded_batches(docs.sparkSession)
     texts = required(docs, **{id_col: "long", text_col: "string"}).toDF("id", "text")
     known = required(labels, **{id_col: "long", label_col: "int"}).toDF("id", "toxic").filter("toxic in (0, 1)").filter(~held_out("id")).dropDuplicates(["id"])
-    chosen = known.join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS)
+    # rows are limited, not ids: each text of an id counts once, whether it repeats or the id has several
+    texts = texts.withColumn("h", hash_of_text("text"))
+    chosen = texts.select("id", "h").distinct().join(known, "id").orderBy(F.xxhash64("id"), "id", "h").limit(TRAINING_ROWS)
     with Workspace(docs.sparkSession) as space:
-        return _trained(space.stored(texts.join(chosen, "id").select("toxic", "text"), "training"))
+        return _trained(space.stored(texts.join(chosen, ["id", "h"]).dropDuplicates(["id", "h"]).select("toxic", "text"), "training"))
 
 
 def _trained(rows: DataFrame) -> Model:
