@@ -8,8 +8,9 @@ synthesises what WARC asks for: record ids (a name-based UUID of the ARC
 record), ISO timestamps from 14 digits, types, block and payload digests.
 Records whose payload another record has already become revisits.
 
-Files are read with Spark's binaryFile source and written with its text writer
-(a row is an archive, one file each), so any storage that Spark knows will do.
+Archives are indexed and read back with Spark's binaryFile source and written
+with its text writer (a row is an archive, one file and gzip member each); the
+conversion opens each by its URI (file, hdfs, s3, gs) in the task that gets its name.
 Archives are cut at ARCHIVE_BYTES of payload (a larger record is one of its
 own); a task holds one archive at a time. Which record is the response of a
 payload is decided on an index of small rows (file, offset, id, digest), not by
@@ -29,11 +30,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,15 +226,23 @@ def _indexed():
     return run
 
 
+def _opened(path: str) -> bytes:
+    """An archive by its URI, as Spark names it."""
+    files, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    with files.open_input_stream(name, compression=None) as stream:
+        return gzip.decompress(stream.read())
+
+
 def _converted():
+    """Archives of (path, revisits) rows, opened by the task that converts them."""
     out = arrow_schema("value string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, revisits in zip(batch.column(0), batch.column(1), strict=True):
+            for path, revisits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 refers = {x["at"]: (x["page"], x["uri"], record_id(x["uri"], x["date"], x["digest"], x["page"])) for x in revisits.as_py() or ()}
                 parts = []
-                for at, head, block in arc_records(gzip.decompress(content.as_py())):
+                for at, head, block in arc_records(_opened(path)):
                     http, payload = _payload(block)
                     page = _id(http["x-page-id"])
                     ident = record_id(head["URL"], head["Archive-date"], digest(payload), page)
@@ -253,7 +264,10 @@ def _convert(spark: SparkSession, arc_path: str, warc_path: str, index: DataFram
     again = index.join(first, "digest").filter("page_id is null or page_id > r.page_id")
     # one row per archive: as many as an archive has records, at most
     revisits = again.groupBy("path").agg(F.collect_list(F.struct("at", F.col("r.page_id").alias("page"), F.col("r.uri").alias("uri"), F.col("r.date").alias("date"), "digest")).alias("revisits"))
-    rows = _files(spark, arc_path).join(revisits, "path", "left").select("content", "revisits").mapInArrow(_converted(), "value string")
+    # the join is of names; what the archives hold is never exchanged
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(arc_path).select("path")
+    # an archive or two for each task, as adaptive execution would put such small rows together
+    rows = names.join(revisits, "path", "left").select("path", "revisits").repartition(max(1, names.count() // 2), "path").mapInArrow(_converted(), "value string")
     rows.write.option("compression", "gzip").option("maxRecordsPerFile", 1).option("lineSep", "\r\n\r\n").text(warc_path)
 
 
