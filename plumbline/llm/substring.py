@@ -9,7 +9,9 @@ of words that its making depends on (its certificate), so equal windows hold
 equal interior symbols, wherever they stand. A window is represented by the
 highest symbol whose certificate lies inside it (of several by that with the
 least name); windows in a row with one representative make a block, and so do
-the windows of one word only that stand in a row. Naming by hash gives what
+windows in a row that repeat one period of up to half a window (a run of one
+word, or of what later rounds would name as one symbol), so a text that says
+the same again and again is few blocks. Naming by hash gives what
 naming by a global table would give, the same name to the same pair everywhere,
 so that the rounds of one text need no exchange. Spark then works on blocks,
 keyed by their symbols:
@@ -24,7 +26,8 @@ nothing; repeats inside one document stay; equal texts are judged by id; rows
 of one id are one document, whether they repeat a text or have others, and each
 of them gives a row; rows without an id lose nothing and no row loses anything
 to them; an empty table gives no rows; columns other than id and text are not
-read. Windows are compared by 128 bits.
+read. Windows are compared by 128 bits. Very long texts are named whole, one a
+step.
 """
 
 from __future__ import annotations
@@ -106,11 +109,19 @@ def blocks(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, .
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     open_ = doc[:count] == doc[width - 1 :] if count else np.zeros(0, bool)
     key, place = np.zeros(count, np.uint64), np.full(count, -1, np.int64)
-    # windows of one word only: those of a run are all the same
-    change = np.concatenate(([0], np.cumsum(words[1:] != words[:-1]))) if n else np.zeros(0, np.int64)
-    run = open_ & (change[:count] == change[width - 1 :]) if count else open_
-    key[run], place[run] = mix(words[:count][run] ^ _U(0xC2B2AE3D27D4EB4F)), change[:count][run]
-    open_ &= ~run
+    # windows that repeat a short period (one word: a run): those that stand in a row are one block, named by the words of
+    # the period whatever their turn; the least period is what the window's words alone tell
+    run, one = np.zeros(count, bool), np.zeros(count, bool)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + _U(9)), dtype=np.uint64)))
+    for p in range(1, width // 2 + 1) if open_.any() else ():
+        breaks = np.concatenate(([0], np.cumsum(words[p:] != words[:-p])))
+        hit = open_ & (breaks[:count] == breaks[width - p :])
+        if hit.any():
+            begins = np.flatnonzero(hit)
+            key[begins], place[begins] = mix(total[begins + p] - total[begins] + _U(p * 0xC2B2AE3D27D4EB4F % (1 << 64))), breaks[begins]
+            run |= hit
+            open_ &= ~hit
+            one = run.copy() if p == 1 else one
     for sym, lo, hi in list(levels(words, at, width))[::-1] if open_.any() else ():
         left = np.concatenate(([0], np.cumsum(open_)))
         if not left[-1]:
@@ -131,7 +142,8 @@ def blocks(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, .
     end = np.append(begin[1:], count)
     real = place[begin] >= 0
     begin, end = begin[real], end[real]
-    content = np.where(run[begin], mix(key[begin]), mix(range_hashes(words, begin, end - 1 + width) + (place[begin] - begin).astype(np.uint64) * _U(0x9E3779B1)))
+    offset = np.where(run[begin], 0, place[begin] - begin).astype(np.uint64)
+    content = np.where(one[begin], mix(key[begin]), mix(range_hashes(words, begin, end - 1 + width) + offset * _U(0x9E3779B1)))
     base = at[doc[begin]]
     return doc[begin], key[begin], content, begin - base, end - 1 - base
 

@@ -97,3 +97,59 @@ def test_long_texts(spark):
 def test_marks_of_writing():
     texts = [b"", b"hey!!! no!! ok! aaa bbbb cc f**k a@b@@c $a a$ AAa\nsss", b"s", b"!!"]
     assert toxicity.marks(texts).tolist() == [[0, 0, 0], [2, 3, 4], [0, 0, 0], [1, 0, 0]]
+
+
+def test_substring_short_periods_are_few_blocks():
+    r = np.random.default_rng(3)
+    for period in (2, 7, 24, 25):
+        turn = r.integers(0, 1 << 60, period).astype(np.uint64)
+        words = np.tile(turn, 200_000 // period)
+        doc, key, content, first, last = substring.blocks(words, np.array([0, len(words)]), 50)
+        assert len(key) < 100 and first[0] == 0 and last[-1] == len(words) - 50
+        # equal windows have one key, whatever stands around them
+        odd = np.concatenate((r.integers(0, 1 << 60, 90).astype(np.uint64), words[period // 2 :][:70], r.integers(0, 1 << 60, 90).astype(np.uint64)))
+        _, other, _, begin, end = substring.blocks(odd, np.array([0, len(odd)]), 50)
+        assert other[(begin <= 95) & (end >= 95)][0] == key[0]
+
+
+def test_substring_periodic_texts(spark):
+    r = np.random.default_rng(5)
+    texts = []
+    for _ in range(40):
+        period = [f"p{r.integers(4)}" for _ in range(r.integers(1, 30))]
+        around = [f"u{r.integers(10**6)}" for _ in range(r.integers(0, 60))]
+        texts.append(" ".join(around + (period * 200)[: r.integers(20, 300)] + around[::-1]))
+    rows = list(enumerate(texts))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substring.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {i: (len(w), len(w) - len(kept), " ".join(kept)) for i, (w, kept) in brute.substring_kept(rows).items()}
+
+
+def test_toxicity_limits_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 10)
+    taken = []
+    monkeypatch.setattr(toxicity, "_trained", lambda rows: taken.append(rows.count()) or toxicity.Model(np.zeros(0, np.uint64), None, 0.0))
+    rows = [(i, f"text {i} {k}", "x", 1, "k", 2) for i in range(2, 40) for k in range(50)] + [(5, "again", "x", 1, "k", 2)] * 300 + [(6, None, "x", 1, "k", 2)] * 3
+    toxicity.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert taken == [10]
+
+
+def test_archives_exchange_no_payloads(spark, monkeypatch):
+    """With broadcast off, nothing that an archive holds is under an exchange of the conversion."""
+    seen = []
+    real = archives._convert
+
+    def watched(session, arc, warc, index):
+        names = session.read.format("binaryFile").load(arc).select("path")
+        seen.append(names._jdf.queryExecution().toString())
+        return real(session, arc, warc, index)
+
+    monkeypatch.setattr(archives, "_convert", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.createDataFrame([(i, f"http://x/{i}", "same" if i % 3 else f"own {i}") for i in range(30)], "page_id long, url string, html string")
+        got = {r.page_id: (r.record_type, r.refers_to) for r in archives.round_trip(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(30)}
+    assert seen and "content" not in seen[0].partition("Physical Plan")[2]
