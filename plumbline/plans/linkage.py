@@ -131,7 +131,7 @@ def linked_customers(spark, sf_dir):
 
 
 @query(
-    """SELECT a.p_partkey AS u, b.p_partkey AS v FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k, p_brand FROM part) a
+    """SELECT least(a.p_partkey, b.p_partkey) AS u, greatest(a.p_partkey, b.p_partkey) AS v FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k, p_brand FROM part) a
     JOIN (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k, p_brand FROM part) b ON a.p_brand = b.p_brand AND b.k BETWEEN a.k + 1 AND a.k + 3"""
 )
 def neighbours_part(spark, sf_dir):
