@@ -565,4 +565,4 @@ def semantic_shares_pages(spark, sf_dir):
 
 
 # these register their own
-from plumbline.plans import adjustments, catalog, forecasts, hierarchy, linkage, reports  # noqa: E402, F401
+from plumbline.plans import adjustments, catalog, forecasts, hierarchy, linkage, reports, tracking  # noqa: E402, F401
