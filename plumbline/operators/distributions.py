@@ -67,3 +67,23 @@ def semantic_counts(df: DataFrame) -> DataFrame:
     whole = {k: f"^(?:{p})$" for k, p in patterns.CONTACTS.items()}
     one = df.agg(*(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("filled"), *(F.count_if(F.col(f"`{c}`").rlike(p)).alias(k) for k, p in whole.items())).alias(f"m{i}") for i, c in enumerate(texts)))
     return one.select(F.inline(F.array(*(F.col(f"m{i}") for i in range(len(texts))))))
+
+
+def contained_classes(df: DataFrame, column: str) -> DataFrame:
+    """How many values are or contain what, as one row: null, empty, space, white_space, alphabet, digits, alphanumeric, special.
+
+    A value of several classes counts in each: a special one (with other
+    characters) also as the letters, digits and spaces that it holds, an
+    alphanumeric one as letters and digits. Counted by pattern, so each pattern
+    is looked at once.
+    """
+    p, n = F.col("pattern"), F.col("value_count")
+    plain = ~p.isin("NULL", "E")
+    mixed = plain & ~p.isin("S", "A", "N")
+    special = mixed & (F.regexp_replace(p, "[ANS]", "") != "")
+    holds = lambda x: mixed & p.contains(x)
+    classes = {
+        "null": p == "NULL", "empty": p == "E", "space": p == "S", "white_space": (p == "S") | holds("S"), "alphabet": (p == "A") | holds("A"), "digits": (p == "N") | holds("N"),
+        "alphanumeric": mixed & p.rlike("^[AN]+$"), "special": special,
+    }
+    return pattern_distribution(df, column).agg(*(F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(k) for k, c in classes.items()))

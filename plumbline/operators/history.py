@@ -145,6 +145,27 @@ def autoregression(history: DataFrame) -> DataFrame:
     return fit.select("series", F.round("a", 3).alias("slope"), F.round(F.col("c") + F.col("a") * F.col("latest"), 3).alias("forecast"))
 
 
+def autoregression_bounds(history: DataFrame) -> DataFrame:
+    """The next value of a first-order autoregression with its 95 % interval: series, n, forecast, lower (not below 0), upper.
+
+    Series of fewer than three values, and constant ones, have no fit and null bounds.
+    """
+    order = Window.partitionBy("series").orderBy("at", "run_id")
+    x = history.withColumn("p", F.lag("value").over(order)).withColumn("y", F.when(F.col("p").isNotNull(), F.col("value")))
+    fit = x.groupBy("series").agg(
+        F.count("value").alias("n"), F.regr_slope("value", "p").alias("a"), F.regr_intercept("value", "p").alias("c"), F.max_by("value", F.struct("at", "run_id")).alias("latest"),
+        F.regr_syy("value", "p").alias("syy"), F.regr_sxx("value", "p").alias("sxx"), F.count("y").alias("k"),
+    )
+    forecast = F.col("c") + F.col("a") * F.col("latest")
+    # residuals of least squares have a mean of 0
+    error = F.sqrt(F.try_divide(F.greatest(F.col("syy") - F.col("a") * F.col("a") * F.col("sxx"), F.lit(0.0)), F.col("k")))
+    fitted = F.col("n") >= 3
+    return fit.select(
+        "series", "n", F.when(fitted, F.round(forecast, 2)).alias("forecast"),
+        F.when(fitted & forecast.isNotNull(), F.round(F.greatest(forecast - 1.96 * error, F.lit(0.0)), 2)).alias("lower"), F.when(fitted, F.round(forecast + 1.96 * error, 2)).alias("upper"),
+    )
+
+
 def z_interval(history: DataFrame) -> DataFrame:
     """Mean -+ 1.959964 population deviations / sqrt(n)."""
     grouped = history.groupBy("series").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))

@@ -107,6 +107,25 @@ def short_patterns_part_name(spark, sf_dir):
     return distributions.pattern_distribution(t(spark, sf_dir, "part"), "p_name")
 
 
+def _contained_sql(table: str, column: str) -> str:
+    mixed = "pattern NOT IN ('NULL', 'E', 'S', 'A', 'N')"
+    tests = {
+        "null": "pattern = 'NULL'", "empty": "pattern = 'E'", "space": "pattern = 'S'", "white_space": f"pattern = 'S' OR {mixed} AND contains(pattern, 'S')", "alphabet": f"pattern = 'A' OR {mixed} AND contains(pattern, 'A')",
+        "digits": f"pattern = 'N' OR {mixed} AND contains(pattern, 'N')", "alphanumeric": f"{mixed} AND regexp_full_match(pattern, '[AN]+')", "special": f"{mixed} AND regexp_replace(pattern, '[ANS]', '', 'g') <> ''",
+    }
+    return f"WITH d AS ({_pattern_sql(table, column)}) SELECT " + ", ".join(f"""CAST(coalesce(sum(value_count) FILTER ({c}), 0) AS BIGINT) AS "{k}\"""" for k, c in tests.items()) + " FROM d"
+
+
+@query(_contained_sql("pages", "url"))
+def contained_classes_page_url(spark, sf_dir):
+    return distributions.contained_classes(t(spark, sf_dir, "pages"), "url")
+
+
+@query(_contained_sql("events", "props"))
+def contained_classes_event_props(spark, sf_dir):
+    return distributions.contained_classes(t(spark, sf_dir, "events"), "props")
+
+
 @query(_pattern_sql("pages", "url"))
 def short_patterns_page_url(spark, sf_dir):
     return distributions.pattern_distribution(t(spark, sf_dir, "pages"), "url")

@@ -231,3 +231,12 @@ def linear_forecast_events(spark, sf_dir):
 )
 def autoregression_events(spark, sf_dir):
     return history.autoregression(daily_history(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_HISTORY}, x AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY "at") AS p FROM h),
+    f AS (SELECT series, count(value) AS n, regr_intercept(value, p) + regr_slope(value, p) * arg_max(value, "at") AS f, sqrt(greatest(regr_syy(value, p) - pow(regr_slope(value, p), 2) * regr_sxx(value, p), 0) / regr_count(value, p)) AS e FROM x GROUP BY 1)
+    SELECT series, n, round(f, 2) AS forecast, round(greatest(f - 1.96 * e, 0), 2) AS lower, round(f + 1.96 * e, 2) AS upper FROM f"""
+)
+def autoregression_bounds_events(spark, sf_dir):
+    return history.autoregression_bounds(daily_history(spark, sf_dir))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import patterns
-from plumbline.operators import health, history, records, rules, schema
+from plumbline.operators import distributions, health, history, records, rules, schema
 from plumbline.plans import registry
 from plumbline.sources import files
 
@@ -179,3 +179,15 @@ def test_extremes_of_dates_and_times(spark):
     df = spark.sql("SELECT DATE '2024-02-03' AS d, TIMESTAMP '2024-01-01 10:00:00.5' AS t UNION ALL SELECT DATE '2023-12-31', NULL")
     got = {r.column_name: (r.min_text, r.max_text, r.min_value) for r in health.value_measures(df).collect()}
     assert got == {"d": ("2023-12-31", "2024-02-03", None), "t": ("2024-01-01 10:00:00.500000", "2024-01-01 10:00:00.500000", None)}
+
+
+def test_values_count_in_each_class_they_hold(spark):
+    values = [None, "", " ", "ab", "12", "a1", "a b", "1 2", "a-1 b", "'q'", "é"]
+    got = distributions.contained_classes(spark.createDataFrame([(v,) for v in values], "v string"), "v").first().asDict()
+    assert got == {"null": 1, "empty": 1, "space": 1, "white_space": 4, "alphabet": 5, "digits": 4, "alphanumeric": 1, "special": 3}
+
+
+def test_autoregression_bounds(spark):
+    rows = [("up", i, str(i), float(2**i)) for i in range(6)] + [("two", i, str(i), 1.0 + i) for i in range(2)] + [("still", i, str(i), 5.0) for i in range(4)]
+    got = {r.series: tuple(r)[1:] for r in history.autoregression_bounds(spark.createDataFrame(rows, "series string, at int, run_id string, value double")).collect()}
+    assert got["up"] == (6, 64.0, 64.0, 64.0) and got["two"][1:] == (None, None, None) and got["still"][1:] == (None, None, None)
