@@ -148,7 +148,12 @@ def votes(counts: np.ndarray, size: int) -> np.ndarray:
     lexicon, words, capitals, found = counts[:, :size], counts[:, size], counts[:, size + 1], counts[:, size + 2 :]
     different, total = (lexicon > 0).sum(1), lexicon.sum(1)
     often = 100 * found >= np.maximum(words, 20)[:, None]
-    return np.column_stack((lexicon > 0, different >= 3, total >= 5, 100 * total >= np.maximum(words, 20), capitals > 0.7, often)).astype(np.float64)
+    return np.column_stack((lexicon > 0, different >= 3, total >= 5, 100 * total >= np.maximum(words, 20), capitals > 0.7, often))
+
+
+def _pieces(n: int, size: int = 2_000) -> Iterator[slice]:
+    """Rows a piece at a time: what the driver holds beside the counts stays small."""
+    return (slice(a, a + size) for a in range(0, n, size))
 
 
 class LabelModel:
@@ -162,20 +167,27 @@ class LabelModel:
     """
 
     def __init__(self, v: np.ndarray, turns: int = 50, settled: float = 1e-4):
+        v = v.astype(bool)
         said = v.sum(1)
         q = 1 / (1 + np.exp(-2.0 * (said - MAJORITY)))
         self.parent = self._forest(v, q)
-        given = np.column_stack([v[:, p] if p >= 0 else np.zeros(len(v)) for p in self.parent])
+        given = np.column_stack([v[:, p] if p >= 0 else np.zeros(len(v), bool) for p in self.parent])
         for _ in range(turns):
             self.prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
             self.rates = np.empty((2, 2, v.shape[1]))
             logit = np.full(len(v), np.log(self.prior / (1 - self.prior)))
             for s in (0, 1):
-                at = given == s
-                for y, w in enumerate((1 - q, q)):
-                    self.rates[s, y] = (w @ (v * at) + 0.05) / (w @ at + 1.0)
+                yes, seen = np.zeros((2, v.shape[1])), np.zeros((2, v.shape[1]))
+                for c in _pieces(len(v)):
+                    at, w = given[c] == bool(s), np.stack((1 - q[c], q[c]))
+                    yes += w @ (v[c] & at)
+                    seen += w @ at
+                self.rates[s] = (yes + 0.05) / (seen + 1.0)
                 r = self.rates[s]
-                logit += (v * at) @ np.log(r[1] / r[0]) + ((1 - v) * at) @ np.log((1 - r[1]) / (1 - r[0]))
+                said_yes, said_no = np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0]))
+                for c in _pieces(len(v)):
+                    at = given[c] == bool(s)
+                    logit[c] += (v[c] & at) @ said_yes + (~v[c] & at) @ said_no
             before, q = q, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             if np.abs(q - before).max() < settled:
                 break
@@ -188,7 +200,7 @@ class LabelModel:
         information = np.zeros((m, m))
         for w in (q, 1 - q):
             total = w.sum()
-            both = (v * w[:, None]).T @ v / max(total, 1e-9)
+            both = sum(((v[c] * w[c, None]).T @ v[c] for c in _pieces(len(v))), np.zeros((m, m))) / max(total, 1e-9)
             one = np.diag(both)
             for a, b, joint in (
                 (one[:, None], one[None, :], both),
@@ -218,7 +230,8 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, turns: int = 25)
     keep[-1] = 1e-3
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), x.T @ (q - p) - keep * w)
+        curve = sum(((x[c] * (p[c] * (1 - p[c]) + 1e-6)[:, None]).T @ x[c] for c in _pieces(len(x))), np.diag(keep))
+        step = np.linalg.solve(curve, x.T @ (q - p) - keep * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -238,20 +251,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-#: Of one text: which lexicon voters stand in it, how often, and the other counts.
-_VOTES = "at array<int>, n array<int>, rest array<double>"
+#: Counts of some texts, packed: a row of 32-bit numbers for each.
+_VOTES = "counts binary"
 
 
 def _votes_of(lexicon):
-    size = len(lexicon.value)
     out = arrow_schema(_VOTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw in steps([None] * batch.num_rows, batch.column(0)):
-                counts = vote_counts(raw, lexicon.value)
-                rows = [((at := np.flatnonzero(c[:size])).tolist(), c[at].astype(int).tolist(), c[size:].tolist()) for c in counts]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([vote_counts(raw, lexicon.value).astype(np.float32).tobytes()], pa.binary())], schema=out)
 
     return run
 
@@ -280,11 +290,9 @@ def _trained(rows: DataFrame) -> Model:
     best = counted.withColumn("w", weight).filter(F.col("w") > LEAST_RATIO).orderBy(F.desc(F.col("w") * F.sqrt("p")), "feature").limit(LEXICON)
     lexicon = np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))
 
-    sample = rows.select("text").mapInArrow(_votes_of(rows.sparkSession.sparkContext.broadcast(lexicon)), _VOTES).collect()
-    counts = np.zeros((len(sample), len(lexicon) + 2 + MARKS))
-    for i, r in enumerate(sample):
-        counts[i, r.at] = r.n
-        counts[i, len(lexicon) :] = r.rest
+    packed = rows.select("text").mapInArrow(_votes_of(rows.sparkSession.sparkContext.broadcast(lexicon)), _VOTES).collect()
+    counts = np.frombuffer(b"".join(r.counts for r in packed), np.float32).reshape(-1, len(lexicon) + 2 + MARKS)
+    del packed
     posterior = LabelModel(votes(counts, len(lexicon))).posterior
     return Model(lexicon, logistic(inputs(counts, len(lexicon)), posterior), n[1] / total)
 
