@@ -7,8 +7,10 @@ Pairs come from an index instead of all pairs. For a mean of at least ``least``
 every field has a least similarity of its own, whatever the others have
 (``field_least``); where that is above 0, similar values share a token:
 
-* ratio (ShortString): one of the rarest q-grams of each value, as many as edits
-  could destroy and one more; partial ratio (String, Text): one of the rarest of
+* ratio (ShortString): of the rarest q-grams of each value, as many as edits could
+  destroy and two more, a pair (one of them and one more, where values are so long
+  that there would be too many pairs, or so short that edits may leave one);
+  partial ratio (String, Text): one of the rarest of
   the shorter value among all grams of the longer; Set: one of the rarest words;
   Exact, Categorical: the value; Price: the price in cents or its neighbour's.
 
@@ -38,6 +40,10 @@ from plumbline.operators.records import kilometres, partial_ratio, ratio, token_
 from plumbline.sources.scratch import Workspace, stored
 
 Q = 3
+#: Up to how many rarest q-grams are taken by pairs.
+PAIRED = 20
+#: About how many records of a block meet each other in one group of a task.
+TILE = 1_000
 _CENTS = 100
 
 
@@ -94,75 +100,133 @@ def field_least(fields: list[Field], name: str, least: float) -> float:
 
 
 def _grams(value: Column) -> Column:
-    """A value's q-grams, told apart by how often they stood before."""
+    """A value's q-grams as hashes, told apart by how often they stood before."""
     n = F.length(value) - (Q - 1)
     plain = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(value, i, F.lit(Q)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(plain, lambda g, i: F.concat(g, F.lit("\x00"), F.size(F.filter(F.slice(plain, F.lit(1), i), lambda x: x == g)).cast("string")))
+    # equal ones stand together; the array is an argument, so that it is computed once
+    numbered = F.transform(F.array(F.sort_array(plain)), lambda s: F.transform(s, lambda g, i: F.xxhash64(g, i.cast("long") + 1 - F.array_position(s, g))))
+    return F.get(numbered, 0)
 
 
-def _tokens(values: DataFrame, kind: str, least: float) -> DataFrame:
-    """(value, token, rare) of distinct values; only partial ratio has tokens that are not rare ones."""
-    value = F.col("value")
+def _rare(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(True).alias("rare")))
+
+
+def _own_tokens(value: Column, kind: str) -> Column | None:
+    """Tokens (array of token and rare) that a value has by itself."""
     if kind in ("Exact", "Categorical"):
-        return values.select("value", value.alias("token"), F.lit(True).alias("rare"))
+        return F.array(F.struct(F.xxhash64(value).alias("token"), F.lit(True).alias("rare")))
     if kind == "Price":
         cents = F.floor(value.try_cast("double") * _CENTS)
         # values less than a cent apart lie in one cent or in neighbouring ones
-        near = F.when(cents.isNotNull(), F.array(cents, cents + 1)).otherwise(F.array(F.lit(-(1 << 62))))
-        return values.select("value", F.explode(near.cast("array<string>")).alias("token"), F.lit(True).alias("rare"))
-    share = least / 100.0
+        both = F.array(*(F.struct((cents + k).alias("token"), F.lit(True).alias("rare")) for k in (0, 1)))
+        return F.when(cents.isNotNull(), both).otherwise(F.array(F.struct(F.lit(-(1 << 62)).alias("token"), F.lit(True).alias("rare"))))
+    return None
+
+
+def _ranked(values: DataFrame, kind: str, share: float) -> DataFrame:
+    """(value, need, all): a value's grams or words, the rarest first, and how many of them are to be looked up."""
+    value = F.col("value")
     if kind == "Set":
         # of n words at least share * n are common: one stands among the n - ceil(share * n) + 1 rarest
-        listed = values.withColumn("parts", F.array_distinct(F.split(F.lower(value), " +")))
+        listed = values.withColumn("parts", F.transform(F.array_distinct(F.split(F.lower(value), " +")), lambda w: F.xxhash64(w)))
         listed = listed.withColumn("need", F.size("parts") - F.ceil(F.size("parts") * share - 1e-9).cast("int") + 1)
     else:
         longest = F.length(value) * (1.0 / share if kind == "ShortString" else 1.0)
         listed = values.withColumn("parts", _grams(value)).withColumn("need", Q * F.floor(longest * (1.0 - share) + 1e-9).cast("int") + 1)
-    exploded = listed.select("value", "need", F.explode("parts").alias("token"))
+    exploded = listed.select("value", "need", F.explode_outer("parts").alias("token"))
     counted = exploded.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = exploded.join(counted, "token").groupBy("value", "need").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
-    tokens = ranked.select("value", "need", F.posexplode("all").alias("at", "t")).select("value", F.col("t.token").alias("token"), (F.col("at") < F.col("need")).alias("rare"))
+    ranked = exploded.join(counted, "token", "left").groupBy("value", "need").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("n", "token")))).alias("all"))
+    return ranked.select("value", "need", F.transform("all", lambda x: x.token).alias("all"))
+
+
+def _tokens(values: DataFrame, kind: str, least: float) -> DataFrame:
+    """(value, tokens: array of token and rare) of distinct values; only partial ratio has tokens that are not rare ones."""
+    ranked = _ranked(values, kind, least / 100.0)
     # values with too few grams for the bound meet by a token of their own
-    loose = F.size("parts") < F.col("need")
+    loose, zero = F.size("all") < F.col("need"), F.lit(0).cast("long")
     if kind in ("String", "Text"):
         # such a short value may lie within any longer one
-        return tokens.unionByName(listed.select("value", F.lit("").alias("token"), loose.alias("rare")))
-    return tokens.filter("rare").unionByName(listed.filter(loose).select("value", F.lit("").alias("token"), F.lit(True).alias("rare")))
+        each = F.transform("all", lambda x, i: F.struct(x.alias("token"), (i < F.col("need")).alias("rare")))
+        return ranked.select("value", F.concat(each, F.array(F.struct(zero.alias("token"), loose.alias("rare")))).alias("tokens"))
+    return ranked.select("value", _rare(F.concat(F.slice("all", F.lit(1), F.col("need")), F.when(loose, F.array(zero)).otherwise(F.array().cast("array<bigint>")))).alias("tokens"))
 
 
-def _signatures(records: DataFrame, fields: list[Field], key: tuple[str, ...], least: float) -> DataFrame:
-    """(node, token, rare): a token of each of the key's fields (any type's), and a bit for each that is rare."""
-    out = None
-    for bit, name in enumerate(key):
-        f, low = next(f for f in fields if f.name == name), field_least(fields, name, least)
-        if low <= 0 or "LatLong" in f.kinds:
-            raise ValueError(f"{name} can't be in a key: whatever its values, records may reach the least mean")
-        valued = records.select("node", text(F.col(name)).alias("value"))
-        own = None
-        for kind in f.kinds:
-            part = _tokens(valued.select("value").distinct(), kind, low).select("value", F.concat(F.lit(f"{kind}:"), "token").alias("token"), F.when(F.col("rare"), 1 << bit).otherwise(0).alias("rare"))
-            own = part if own is None else own.unionByName(part)
-        own = valued.join(own, "value").select("node", "token", "rare")
-        out = own if out is None else out.join(own.toDF("node", "token2", "rare2"), "node").select("node", F.concat_ws("\x01", "token", "token2").alias("token"), (F.col("rare") + F.col("rare2")).alias("rare"))
-    return out
+def _of_kind(kind: str) -> Column:
+    """A type's column of tokens, told apart from other types'."""
+    return F.transform(kind, lambda x: F.struct(F.xxhash64(F.lit(kind), x.token).alias("token"), x.rare.alias("rare")))
+
+
+def _edits(longest: Column, share: float) -> Column:
+    return F.floor(longest * (1.0 - share) + 1e-9)
+
 
+def _paired(signed: DataFrame, values: DataFrame, share: float, space: Workspace) -> DataFrame:
+    """Rows of ``signed`` (with value) for each token: two grams that similar values share, under the edits that the longer of them allows.
 
-def candidates(records: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float, across: bool = False) -> DataFrame:
+    A value has tokens for the edits that its own length allows (rare) and for
+    those that longer values' would; one of a pair has to be the longer one. Edits
+    leave two common grams at least where one of the values has two more than
+    they could destroy; other values have single grams too, or a token of their own.
+    """
+    ranked = _ranked(values, "ShortString", share)
+    grams = space.stored(ranked.select("value", F.size("all").alias("n"), F.slice("all", F.lit(1), F.col("need") + 1).alias("grams")), "grams")
+    length, zero, none = F.length("value"), F.array(F.lit(0).cast("long")), F.array().cast("array<bigint>")
+    rest = [c for c in signed.columns if c != "value"]
+    rows = signed.join(grams, "value").select("*", F.explode(F.sequence(_edits(length, share), _edits(length / share, share))).alias("k"))
+    rows = rows.withColumn("left", F.col("n") - Q * F.col("k")).withColumn("rare", F.col("k") == _edits(length, share))
+    held = F.slice("grams", F.lit(1), (Q * F.col("k") + 2).cast("int"))
+    rows = rows.select(*rest, "k", "left", "rare", F.when(F.col("left") < 1, F.concat(held, zero)).otherwise(held).alias("held"))
+    rows = rows.select("*", F.posexplode("held").alias("at", "x"))
+    # a gram with 0 is a single one, 0 with 0 the value's own token
+    single = F.when((F.col("left") == 1) | ((F.col("left") < 1) & (F.col("at") == F.size("held") - 1)), zero).otherwise(none)
+    rows = rows.select(*rest, "k", "rare", "x", F.explode(F.concat(F.slice("held", F.col("at") + 2, F.size("held")), single)).alias("y"))
+    return rows.select(*rest, F.struct(F.xxhash64("k", "x", "y").alias("token"), "rare").alias("own"))
+
+
+def _signatures(records: DataFrame, fields: list[Field], key: tuple[str, ...], least: float, space: Workspace) -> DataFrame:
+    """(node, token, rare): a token of each of the key's fields (any type's) as one hash, and a bit for each that is rare."""
+    named = {f.name: f for f in fields}
+    lows = {name: field_least(fields, name, least) for name in key}
+    for name in key:
+        if lows[name] <= 0 or "LatLong" in named[name].kinds:
+            raise ValueError(f"{name} can't be in a key: whatever its values, records may reach the least mean")
+    signed = records.select("node", *(["side"] if "side" in records.columns else []), *(text(F.col(name)).alias(f"v{bit}") for bit, name in enumerate(key)))
+    for bit, name in enumerate(key):
+        kinds, value = named[name].kinds, F.col(f"v{bit}")
+        values = records.select(text(F.col(name)).alias("value")).distinct()
+        signed = signed.withColumn("value", value).drop(f"v{bit}")
+        share = lows[name] / 100.0
+        if kinds == ("ShortString",) and (values.agg(F.max(Q * _edits(F.length("value") / share, share))).first()[0] or 0) < PAIRED:
+            signed = _paired(signed, values, share, space)
+        else:
+            for kind in kinds:
+                own = _own_tokens(F.col("value"), kind)
+                signed = signed.withColumn(kind, own) if own is not None else signed.join(_tokens(values, kind, lows[name]).withColumnRenamed("tokens", kind), "value")
+            rest = [c for c in signed.columns if c not in ("value", *kinds)]
+            numbered = F.concat(*(_of_kind(kind) for kind in kinds))
+            signed = signed.select(*rest, F.explode(F.col(kinds[0]) if len(kinds) == 1 else numbered).alias("own"))
+        signed = signed.withColumnRenamed("own", f"x{bit}")
+    bits = range(len(key))
+    rare = sum((F.when(F.col(f"x{b}.rare"), 1 << b).otherwise(0) for b in bits), F.lit(0))
+    return signed.select("node", *(["side"] if "side" in records.columns else []), F.xxhash64(*(f"x{b}.token" for b in bits)).alias("token"), rare.alias("rare"))
+
+
+def candidates(records: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float, across: bool = False, space: Workspace | None = None) -> DataFrame:
     """Pairs (u, v) of nodes that share a token of a key, each once; u < v, or side 0 with side 1 where ``across``.
 
     ``records``: node and the fields; where ``across``, side (0 or 1) too. All
     records that hold a token meet each other: give a field with frequent values
-    company in its key.
+    company in its key. Grams are kept in the workspace, or as ``stored`` keeps them.
     """
-    pairs = None
+    space, pairs = space or Workspace(records.sparkSession), None
     for key in keys:
-        signed = _signatures(records, fields, key, least)
-        if across:
-            signed = signed.join(records.select("node", "side"), "node")
+        signed = _signatures(records, fields, key, least, space)
         # of each field's two tokens one has to be among the rare ones of its value
-        met = F.expr(f"(a.rare | b.rare) = {(1 << len(key)) - 1}")
-        order = F.expr("a.side < b.side" if across else "a.node < b.node")
-        found = signed.alias("a").join(signed.alias("b"), F.expr("a.token = b.token") & order & met).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        met = F.expr(f"a.token = b.token and (a.rare | b.rare) = {(1 << len(key)) - 1}")
+        # where sides are linked each is a side of the join: a token that one of them holds often is no pair
+        left, right, order = (signed.filter("side = 0"), signed.filter("side = 1"), F.lit(True)) if across else (signed, signed, F.expr("a.node < b.node"))
+        found = left.alias("a").join(right.alias("b"), met & order).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.distinct()
 
@@ -188,13 +252,69 @@ def scored_pairs(records: DataFrame, pairs: DataFrame, fields: list[Field], leas
     """(u, v, score) of those pairs whose mean similarity reaches ``least``."""
     names = [f.name for f in fields]
     left, right = (records.select(F.col("node").alias(x), F.struct(*names).alias(n)) for x, n in (("u", "a"), ("v", "b")))
-    return pairs.join(left, "u").join(right, "v").withColumn("score", similarity(fields, "a", "b")).filter(F.col("score") >= least).select("u", "v", "score")
+    return _scored(pairs.join(left, "u").join(right, "v"), fields, least).select("u", "v", "score")
+
+
+def _scored(pairs: DataFrame, fields: list[Field], least: float) -> DataFrame:
+    """Pairs of records a and b with their score, where it reaches ``least``.
+
+    Values too far apart for the field's own least similarity go first, by an edit distance that stops at its limit.
+    """
+    for f in fields:
+        low = field_least(fields, f.name, least)
+        if f.kinds == ("ShortString",) and low > 0:
+            x, y = text(F.col(f"a.{f.name}")), text(F.col(f"b.{f.name}"))
+            limit = _edits(F.greatest(F.length(x), F.length(y)), low / 100.0).cast("int")
+            pairs = pairs.filter(F.call_function("levenshtein", x, y, limit) >= 0)
+    return pairs.withColumn("score", similarity(fields, "a", "b")).filter(F.col("score") >= least)
 
 
-def similar_records(df: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float = 90.0) -> DataFrame:
+def similar_records(df: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float = 90.0, space: Workspace | None = None) -> DataFrame:
     """All pairs of different records whose mean similarity reaches ``least``: u, v (nodes), score."""
     records = with_node(df, fields).select("node", *(f.name for f in fields)).dropDuplicates(["node"])
-    return scored_pairs(records, candidates(records, fields, keys, least), fields, least)
+    blocks = [_block(records, fields, key, least) for key in keys]
+    found = scored_pairs(records, candidates(records, fields, [k for k, b in zip(keys, blocks, strict=True) if not b], least, space=space), fields, least) if not all(blocks) else None
+    for block in filter(None, blocks):
+        inside = within_blocks(records, block, fields, least)
+        found = inside if found is None else found.unionByName(inside)
+    return found.distinct() if len(keys) > 1 else found
+
+
+def _block(records: DataFrame, fields: list[Field], key: tuple[str, ...], least: float) -> list[str]:
+    """The fields of equal values of a key whose other fields' grams tell nothing apart, else none.
+
+    Where edits may destroy over half of the grams of most values, the rarest ones
+    that are to be looked up are nearly all, and records meet at each of those
+    that they share: comparing those of equal other fields once is less.
+    """
+    by_name = {f.name: f for f in fields}
+    equal = [n for n in key if set(by_name[n].kinds) <= {"Exact", "Categorical"}]
+    grams = [n for n in key if by_name[n].kinds == ("ShortString",) and field_least(fields, n, least) > 0]
+    if not equal or not grams or len(equal) + len(grams) < len(key) or any(field_least(fields, n, least) <= 0 for n in equal):
+        return []
+    weak = []
+    for n in grams:
+        share = field_least(fields, n, least) / 100.0
+        length = F.length(text(F.col(n)))
+        weak.append(F.avg((2 * Q * F.floor(length / share * (1.0 - share) + 1e-9) > length - (Q - 1)).cast("double")))
+    return equal if all((x or 0) > 0.5 for x in records.agg(*weak).first()) else []
+
+
+def within_blocks(records: DataFrame, block: list[str], fields: list[Field], least: float) -> DataFrame:
+    """(u, v, score) of all pairs with equal ``block`` fields whose mean similarity reaches ``least``.
+
+    Quadratic in a block, but no pair is kept before it is scored: a block is
+    dealt over parts of about TILE records, and every two parts meet in a task's group.
+    """
+    names = [f.name for f in fields]
+    rows = records.select("node", F.struct(*names).alias("r"), F.xxhash64(*(text(F.col(n)) for n in block)).alias("block"))
+    parts = rows.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    rows = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
+    left = rows.select("node", "r", "block", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    right = rows.select("node", "r", "block", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    a, b = left.select("block", "i", "j", F.col("node").alias("u"), F.col("r").alias("a")), right.select("block", "i", "j", F.col("node").alias("v"), F.col("r").alias("b"))
+    met = a.join(b.hint("shuffle_hash"), ["block", "i", "j"]).filter("i < j or u < v")
+    return _scored(met, fields, least).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "score")
 
 
 # ---------------------------------------------------------------- clusters, at once and by increments
@@ -207,7 +327,7 @@ def clusters(df: DataFrame, id_col: str, fields: list[Field], keys: list[tuple[s
     id have a null one.
     """
     with Workspace(df.sparkSession) as space:
-        links = space.stored(similar_records(df, fields, keys, least).select("u", "v"), "links")
+        links = space.stored(similar_records(df, fields, keys, least, space).select("u", "v"), "links")
         return _named(with_node(df, fields), connected_components(links), id_col)
 
 
@@ -233,9 +353,9 @@ def extended(state: DataFrame, new: DataFrame, id_col: str, fields: list[Field],
         names = [f.name for f in fields]
         stays = old.select("node", *names).dropDuplicates(["node"]).withColumn("side", F.lit(0))
         comes = space.stored(fresh.select("node", *names).dropDuplicates(["node"]).join(stays.select("node"), "node", "left_anti").withColumn("side", F.lit(1)), "fresh")
-        links = scored_pairs(comes, candidates(comes, fields, keys, least), fields, least)
+        links = scored_pairs(comes, candidates(comes, fields, keys, least, space=space), fields, least)
         both = stays.unionByName(comes)
-        links = links.unionByName(scored_pairs(both, candidates(both, fields, keys, least, across=True), fields, least)).select("u", "v")
+        links = links.unionByName(scored_pairs(both, candidates(both, fields, keys, least, across=True, space=space), fields, least)).select("u", "v")
         # a stored cluster hangs together by an edge from its smallest record to each
         first = old.groupBy("cluster_id").agg(F.min("node").alias("u"))
         held = old.join(first, "cluster_id").select("u", F.col("node").alias("v")).filter("u <> v")
@@ -252,7 +372,7 @@ def similar_clusters(state: DataFrame, fields: list[Field], keys: list[tuple[str
     """Clusters whose representatives are similar: cluster_id, merged_id (the smallest id of the group); others are left out."""
     with Workspace(state.sparkSession) as space:
         reps = space.stored(representatives(state, rules), "representatives")
-        labels = connected_components(space.stored(similar_records(reps, fields, keys, least).select("u", "v"), "pairs"))
+        labels = connected_components(space.stored(similar_records(reps, fields, keys, least, space).select("u", "v"), "pairs"))
         grouped = with_node(reps, fields).join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
         names = grouped.groupBy("group").agg(F.min("cluster_id").alias("merged_id"), F.count("*").alias("n")).filter("n > 1")
         return stored(grouped.join(names, "group").select("cluster_id", "merged_id"), "similar")

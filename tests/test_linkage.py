@@ -176,3 +176,28 @@ def test_planted_links_are_found(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     none = linkage.link(left.limit(0), right.limit(0), "left_id", "right_id", queries.LINK_FIELDS, queries.LINK_KEYS)[0]
     assert none.count() == 0
+
+
+def test_candidates_share_two_grams(spark):
+    """One gram in common is no pair where edits leave two."""
+    rows = [(i, f"{i * 7919 % 1000003:07d} {i * 104729 % 999983:07d}", "XX") for i in range(600)]
+    df, fields = spark.createDataFrame(rows, "id long, name string, nation string"), [Field("name"), Field("nation", ("Exact",))]
+    records = linkage.with_node(df, fields)
+    assert linkage.candidates(records, fields, [("name", "nation")], 95.0).count() < 600
+
+
+def test_tokens_of_one_side_are_no_pairs(spark):
+    left, right = queries.link_sides(spark, SF)
+    records = linkage.link_records(left, right, "left_id", "right_id", ["name", "balance"])
+    plan = linkage.link_candidates(records, queries.LINK_KEYS, 90.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"side#\d+ < side#\d+", plan)
+
+
+def test_weak_grams_are_compared_in_blocks(spark):
+    rows, fields = people(), [Field("name", weight=3.0), Field("words", ("Exact",))]
+    records = linkage.with_node(spark.createDataFrame(rows, SCHEMA), fields).dropDuplicates(["node"])
+    assert linkage._block(records, fields, ("name", "words"), 80.0) == ["words"]
+    assert linkage._block(records, fields, ("name", "words"), 95.0) == []
+    met = {(r.u, r.v): round(r.score, 6) for r in linkage.within_blocks(records, ["words"], fields, 80.0).collect()}
+    by_tokens = linkage.scored_pairs(records, linkage.candidates(records, fields, [("name", "words")], 80.0), fields, 80.0).collect()
+    assert met == {(r.u, r.v): round(r.score, 6) for r in by_tokens} and len(met) > 10
