@@ -62,7 +62,8 @@ def _misspelt(names: DataFrame, terms: DataFrame, least: float) -> DataFrame:
 def mapped(attributes: DataFrame, glossary: DataFrame, id_col: str, name_col: str, term_col: str, meta_col: str | None = None) -> DataFrame:
     """The best term of each attribute: id, name, term, score (six places), direct (the name is the term, nearly)."""
     rows = attributes.select(F.col(id_col).alias("id"), F.col(name_col).cast("string").alias("name"), (F.col(meta_col).cast("double") if meta_col else F.lit(None).cast("double")).alias("meta"))
-    filled = lambda df, c: df.filter(F.col(c).isNotNull() & (F.size(words(F.col(c))) > 0)).distinct()
+    # equal names are one before words are looked for (the aggregate keeps the filter above it)
+    filled = lambda df, c: df.groupBy(c).agg(F.max(c).alias("own")).filter(F.size(words(F.col("own"))) > 0).select(c)
     names, terms = filled(rows.select("name"), "name"), filled(glossary.select(F.col(term_col).cast("string").alias("term")), "term")
     near = cosines(names, terms)
     total = sum(WEIGHTS)
