@@ -118,3 +118,20 @@ def test_digests(spark, tmp_path):
     assert states == [("a.json", "ok"), ("a.json", "unknown"), ("b.parquet", "changed"), ("empty", "undeclared"), ("gone", "missing")]
     with pytest.raises(Exception, match="gone"):
         structure.digests(spark.createDataFrame([(uri("gone"),)], "path string")).collect()
+
+
+def test_shapes_let_every_date_through(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.sources import files
+
+    formats = files.TIME_FORMATS + files.DATE_FORMATS
+    at = F.lit("2021-03-04 05:06:07.120000").cast("timestamp")
+    written = spark.range(1).select(*(F.date_format(at, f).alias(f"x{i}") for i, f in enumerate(formats))).first()
+    import re
+
+    assert all(re.search(files._shape(f), x) for f, x in zip(formats, written, strict=True))
+    rows = spark.createDataFrame([(x,) for x in [*written, "", " 2021/03/04 ", "soon", "2021-3-4", None]], "x string")
+    got = [r.d for r in rows.select(files.safe_cast(F.col("x"), "date").alias("d")).collect()]
+    assert got[0].isoformat() == "2021-03-04" and got[-5] is None and got[-4].isoformat() == "2021-03-04" and got[-3:] == [None] * 3
+    assert all(d is not None for d in got[: len(formats)])
