@@ -10,6 +10,8 @@ decimals, so that they don't depend on the order of a sum.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,31 +108,48 @@ def smoothed(history: DataFrame) -> DataFrame:
 
 
 def outlier_factors(x: np.ndarray, neighbours: int = 5) -> np.ndarray:
-    """Local outlier factors of single values: how much denser their neighbours lie than they do."""
-    k = min(neighbours, len(x) - 1)
-    apart = np.abs(x[:, None] - x[None, :])
-    np.fill_diagonal(apart, np.inf)
-    near = np.argsort(apart, axis=1, kind="stable")[:, :k]
-    reach = np.take_along_axis(apart, near, 1)
-    density = 1.0 / (np.maximum(reach, reach[near, -1]).mean(axis=1) + 1e-10)
-    return density[near].mean(axis=1) / density
+    """Local outlier factors of single values (the last axis; others are series): how much denser their neighbours lie than they do."""
+    k = min(neighbours, x.shape[-1] - 1)
+    apart = np.abs(x[..., :, None] - x[..., None, :])
+    at = np.arange(x.shape[-1])
+    apart[..., at, at] = np.inf
+    near = np.argsort(apart, axis=-1, kind="stable")[..., :k]
+    reach = np.take_along_axis(apart, near, -1)
+    of_near = lambda each: np.take_along_axis(each, near.reshape(*x.shape[:-1], -1), -1).reshape(near.shape)
+    density = 1.0 / (np.maximum(reach, of_near(reach[..., -1])).mean(axis=-1) + 1e-10)
+    return of_near(density).mean(axis=-1) / density
+
+
+#: Numbers in the table of distances that numpy holds at once.
+_DISTANCES = 1 << 20
 
 
 def local_outliers(rows: DataFrame, share: float = 0.1, least: int = 5) -> DataFrame:
     """Values (series, i, value) whose outlier factor is above that of all but ``share`` become their series' median.
 
-    Series of fewer than ``least`` values stay. A series (RUNS values at most) is a batch of numpy.
+    Series of fewer than ``least`` values stay. Series (RUNS values at most) of one length are a batch of numpy.
     """
 
-    def cleaned(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("i")
-        x = df["value"].to_numpy(float)
-        if len(x) >= least:
-            factor = outlier_factors(x)
-            df["value"] = np.where(factor > np.percentile(factor, 100 * (1 - share)), np.median(x), x)
-        return df
-
-    return rows.groupBy("series").applyInPandas(cleaned, rows.select("series", "i", "value").schema)
+    def cleaned(batches):
+        for df in batches:
+            values = [np.asarray(v, float) for v in df["v"]]
+            by_length: dict[int, list[int]] = {}
+            for k, v in enumerate(values):
+                by_length.setdefault(len(v), []).append(k)
+            for n, all_of in by_length.items():
+                step = max(1, _DISTANCES // (n * n)) if n else 1
+                for at in range(0, len(all_of) if n >= least else 0, step):
+                    some = all_of[at : at + step]
+                    x = np.stack([values[k] for k in some])
+                    factor = outlier_factors(x)
+                    x = np.where(factor > np.percentile(factor, 100 * (1 - share), axis=1, keepdims=True), np.median(x, axis=1, keepdims=True), x)
+                    for k, v in zip(some, x, strict=True):
+                        values[k] = v
+            yield pd.DataFrame({"series": df["series"], "is": df["is"], "v": values})
+
+    kept = rows.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("x")).select("series", F.col("x.i").alias("is"), F.col("x.value").alias("v"))
+    done = kept.mapInPandas(cleaned, kept.schema)
+    return done.select("series", F.explode(F.arrays_zip("is", "v")).alias("x")).select("series", F.col("x.is").alias("i"), F.col("x.v").alias("value"))
 
 
 def _line(rows: DataFrame) -> DataFrame:
@@ -262,11 +281,16 @@ def bootstrap_lower(history: DataFrame, draws: int = 1000, confidence: float = 0
     """The lower bound of each series by resampling: series, n, lower.
 
     Draw d takes the run that a hash of (seed, series, d) names, so the bound is the same for
-    any partitioning. Draws are rows, their number times the series.
+    any partitioning. A series' draws are an array in its row; where all values are equal they are not drawn.
     """
-    rows = latest(history)
-    size = rows.groupBy("series").agg(F.count("*").alias("n"))
-    drawn = size.select("series", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("series"), F.col("d").cast("string")))
-    drawn = drawn.withColumn("i", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    return drawn.join(rows, ["series", "i"]).groupBy("series", "n").agg(F.round(F.percentile("value", F.lit((1 - confidence) / 2)), 6).alias("lower"))
+
+    def drawn(d: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("series"), d.cast("string")))
+        return F.get("v", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
+
+    at = (draws - 1) * (1 - confidence) / 2
+    low = math.floor(at)
+    ordered = F.array(F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), drawn)))
+    cut = F.get(F.transform(ordered, lambda x: F.get(x, low) + (at - low) * (F.get(x, min(low + 1, draws - 1)) - F.get(x, low))), 0)
+    varies = F.array_min("v") < F.array_max("v")
+    return _arrays(latest(history)).select("series", F.col("n").cast("long").alias("n"), F.round(F.when(varies, cut).otherwise(F.get("v", 0)), 6).alias("lower"))

@@ -94,3 +94,21 @@ def test_empty_history(spark):
     h = frame(spark, {})
     for f in (forecasts.seasonality, forecasts.range_model, forecasts.bootstrap_lower, lambda x: forecasts.boundary_forecast(x, True, True)):
         assert f(h).count() == 0
+
+
+def test_outliers_of_many_series_are_those_of_each():
+    import numpy as np
+
+    from plumbline.operators.forecasts import outlier_factors
+
+    x = np.random.default_rng(4).integers(0, 9, (20, 12)).astype(float)
+    assert (outlier_factors(x) == np.stack([outlier_factors(v) for v in x])).all()
+
+
+def test_draws_are_no_rows(spark):
+    from plumbline.operators import forecasts
+
+    h = spark.createDataFrame([("a", "1", "1", 2.0), ("a", "2", "2", 4.0), ("b", "1", "1", 3.0)], "series string, at string, run_id string, value double")
+    found = forecasts.bootstrap_lower(h)
+    assert {r.series: (r.n, r.lower) for r in found.collect()} == {"a": (2, 2.0), "b": (1, 3.0)}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
