@@ -28,8 +28,8 @@ def latest(history: DataFrame) -> DataFrame:
     filled = history.filter("value is not null").select("series", "at", "run_id", F.col("value").cast("double").alias("value"))
     back = Window.partitionBy("series").orderBy(F.desc("at"), F.desc("run_id"))
     kept = filled.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= RUNS)
-    forth = Window.partitionBy("series").orderBy(F.desc("back"))
-    return kept.select("series", (F.row_number().over(forth) - 1).alias("i"), "value")
+    n = F.count("*").over(Window.partitionBy("series"))
+    return kept.select("series", (n - F.col("back")).cast("int").alias("i"), "value")
 
 
 def _arrays(rows: DataFrame) -> DataFrame:
@@ -96,15 +96,24 @@ def seasonality(history: DataFrame) -> DataFrame:
 
 
 def smoothed(history: DataFrame) -> DataFrame:
-    """Series whose variance is over half of their squared mean, as means of three runs (the first two as the third): series, i, value."""
-    rows = latest(history)
-    stats = rows.groupBy("series").agg(F.count("*").alias("n"), F.var_pop("value").alias("var"), F.avg("value").alias("mean"), (F.min("value") < F.max("value")).alias("varies"))
-    at = Window.partitionBy("series").orderBy("i")
-    moving = F.avg("value").over(at.rowsBetween(-2, 0))
-    noisy = (F.col("n") >= 3) & F.col("varies") & (F.col("mean") != 0) & (F.col("var") > 0.5 * F.col("mean") * F.col("mean"))
-    third = F.avg(F.when(F.col("i") < 3, F.col("value"))).over(Window.partitionBy("series"))
-    rows = rows.withColumn("moving", F.when(F.col("i") < 2, third).otherwise(moving))
-    return rows.join(stats, "series").select("series", "i", F.when(noisy, F.col("moving")).otherwise(F.col("value")).alias("value"))
+    """Series whose variance is over half of their squared mean, as means of three runs (the first two as the third): series, i, value.
+
+    Small counts often have a variance of just that half, where the last bit decides: mean and
+    variance are folded over the runs in order, by Welford's steps, as SQL engines do.
+    """
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("total"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = acc.k + 1
+        mean = acc.mean + (x - acc.mean) / k
+        return F.struct(k.alias("k"), (acc.total + x).alias("total"), mean.alias("mean"), (acc.square + (x - mean) * (x - acc.mean)).alias("square"))
+
+    half = lambda s: (s.total != 0) & (s.square / s.k > 0.5 * (s.total / s.k) * (s.total / s.k))
+    noisy = F.when((F.col("n") >= 3) & (F.array_min("v") < F.array_max("v")), F.aggregate("v", start, step, half))
+    third = lambda i: (F.get("v", i - 2) + F.get("v", i - 1) + F.get("v", i)) / 3
+    means = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: third(F.greatest(i, F.lit(2))))
+    rows = _arrays(latest(history)).select("series", F.when(noisy, means).otherwise(F.col("v")).alias("v"))
+    return rows.select("series", F.posexplode("v").alias("i", "value"))
 
 
 def outlier_factors(x: np.ndarray, neighbours: int = 5) -> np.ndarray:
