@@ -40,28 +40,38 @@ def _arrays(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- seasonality
 
 
-def _strengths(rows: DataFrame) -> DataFrame:
-    """(series, period, strength): deviation of seasonal means over that of the values, for periods that stand twice.
+def _strengths(a: DataFrame) -> DataFrame:
+    """``a`` (v, n, s: a series' values and their deviation) with strengths: the periods that stand twice whose seasonal means deviate over STRENGTH of that.
 
     Values less their centred moving mean are averaged by phase where that mean
     is whole; the phases' means, less their own mean, are laid over the series.
     """
-    at = Window.partitionBy("series").orderBy("i")
-    n = F.count("*").over(Window.partitionBy("series"))
-    detrended = []
-    for p in range(2, LONGEST):
-        h = p // 2
-        around = F.sum("value").over(at.rowsBetween(-h, h))
-        whole = around if p % 2 else around - (F.lag("value", h).over(at) + F.lead("value", h).over(at)) / 2
-        inside = (F.col("i") >= h) & (F.col("i") < n - h) & (n >= 2 * p)
-        detrended.append(F.when(inside, F.struct(F.lit(p).alias("period"), (F.col("value") - whole / p).alias("d"))))
-    spread = rows.groupBy("series").agg(F.stddev_pop("value").alias("s"), F.count("*").alias("n"))
-    each = rows.select("series", "i", F.array(*detrended).alias("all")).select("series", "i", F.explode("all").alias("x")).filter("x is not null").select("series", F.col("x.period").alias("period"), (F.col("i") % F.col("x.period")).alias("phase"), "x.d")
-    phases = each.groupBy("series", "period", "phase").agg(F.avg("d").alias("mean")).join(spread, "series")
-    times = F.floor((F.col("n") - 1 - F.col("phase")) / F.col("period")) + 1
-    phases = phases.withColumn("times", times)
-    laid = phases.groupBy("series", "period", "s").agg((F.sum(F.col("times") * F.col("mean") * F.col("mean")) / F.first("n") - F.pow(F.sum(F.col("times") * F.col("mean")) / F.first("n"), 2)).alias("var"))
-    return laid.select("series", "period", F.try_divide(F.sqrt(F.greatest("var", F.lit(0.0))), F.col("s")).alias("strength"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda x, y: x + y)
+
+    def detrended(p: Column) -> Column:
+        h = F.floor(p / 2).cast("int")
+        ends = F.when(p % 2 == 0, 0.5).otherwise(0.0)
+        around = lambda i: total(F.slice("v", i - h + 1, 2 * h + 1)) - ends * (F.get("v", i - h) + F.get("v", i + h))
+        return F.struct(p.alias("p"), h.alias("h"), F.transform(F.sequence(h, F.col("n") - 1 - h), lambda i: F.get("v", i) - around(i) / p).alias("d"))
+
+    def phases(x: Column) -> Column:
+        def mean(phase: Column) -> Column:
+            first = (phase - x.h + 2 * x.p) % x.p
+            at = F.sequence(first, F.size(x.d) - 1, x.p)
+            times = F.floor((F.col("n") - 1 - phase) / x.p) + 1
+            return F.struct(times.alias("times"), (F.aggregate(at, F.lit(0.0), lambda acc, j: acc + F.get(x.d, j)) / F.size(at)).alias("mean"))
+
+        return F.struct(x.p.alias("p"), F.transform(F.sequence(F.lit(0), x.p - 1), mean).alias("means"))
+
+    def strength(x: Column) -> Column:
+        square = total(F.transform(x.means, lambda m: m.times * m.mean * m.mean)) / F.col("n")
+        mean = total(F.transform(x.means, lambda m: m.times * m.mean)) / F.col("n")
+        return F.struct(x.p.alias("p"), F.try_divide(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), F.col("s")).alias("strength"))
+
+    longest = F.least(F.floor(F.col("n") / 2).cast("int"), F.lit(LONGEST - 1))
+    periods = F.when(F.col("open") & (longest >= 2), F.sequence(F.lit(2), F.greatest(longest, F.lit(2))))
+    found = F.transform(F.transform(F.transform(periods, detrended), phases), strength)
+    return a.withColumn("strengths", F.transform(F.filter(found, lambda x: x.strength > STRENGTH), lambda x: x.p))
 
 
 def seasonality(history: DataFrame) -> DataFrame:
@@ -71,8 +81,7 @@ def seasonality(history: DataFrame) -> DataFrame:
     strong), period (the dominant one, where it is 2 to LONGEST) and seasonal.
     Series that are constant or shorter than three are not seasonal.
     """
-    rows = latest(history)
-    a = _arrays(rows).withColumn("mean", F.aggregate("v", F.lit(0.0), lambda x, y: x + y) / F.col("n"))
+    a = _arrays(latest(history)).withColumn("mean", F.aggregate("v", F.lit(0.0), lambda x, y: x + y) / F.col("n"))
     a = a.withColumn("c", F.transform("v", lambda x: x - F.col("mean"))).withColumn("square", F.aggregate("c", F.lit(0.0), lambda x, y: x + y * y))
     open_ = (F.col("n") >= 3) & (F.array_min("v") < F.array_max("v"))
     a = a.withColumn("open", open_).withColumn("lags", F.least(F.floor(F.col("n") / 2), F.lit(LONGEST)).cast("int"))
@@ -86,8 +95,7 @@ def seasonality(history: DataFrame) -> DataFrame:
     a = a.withColumn("top", F.when(F.col("open") & (half >= 1), F.array_max(power)))
     period = F.when(F.col("top.p") > 0, F.bround(F.col("n") / -F.col("top.k"), 0).cast("int"))
     a = a.withColumn("period", F.when(period.between(2, LONGEST), period))
-    strong = _strengths(rows).filter(F.col("strength") > STRENGTH).groupBy("series").agg(F.min("period").alias("strength"))
-    found = a.join(strong, "series", "left").withColumn("strength", F.when(F.col("open"), F.col("strength")))
+    found = _strengths(a.withColumn("s", F.sqrt(F.col("square") / F.col("n")))).withColumn("strength", F.array_min("strengths"))
     votes = sum((F.col(c).isNotNull().cast("int") for c in ("peak", "strength", "period")), F.lit(0))
     return found.select("series", "n", "peak", "strength", "period", (votes >= 2).alias("seasonal"))
 

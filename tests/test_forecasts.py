@@ -130,3 +130,26 @@ def test_variance_of_half_the_squared_mean_is_judged_as_sql_does(spark, tmp_path
     for name in ("smoothed_events", "range_bounds_events"):
         found = sorted(map(tuple, getattr(plans, name)(spark, str(tmp_path)).collect()))
         assert found == sorted(con.sql(oracle_sql()[name]).fetchall()), name
+
+
+def plain_strength(v):
+    n, s = len(v), float(np.std(v))
+    for p in range(2, min(n // 2, forecasts.LONGEST - 1) + 1):
+        h = p // 2
+        whole = lambda i: sum(v[i - h : i + h + 1]) - (0 if p % 2 else (v[i - h] + v[i + h]) / 2)  # noqa: E731, B023
+        by_phase = [[v[i] - whole(i) / p for i in range(h, n - h) if i % p == phase] for phase in range(p)]
+        laid = [float(np.mean(by_phase[i % p])) for i in range(n)]
+        if np.std(laid) / s > forecasts.STRENGTH:
+            return p
+    return None
+
+
+def test_seasonal_means_are_found_in_a_series_own_row(spark):
+    """No window a period, no rows a period and run, no join: a task holds the sorted runs, and a row a series."""
+    r = random.Random(8)
+    series = {f"r{n}": [r.gauss(10, 1) for _ in range(n)] for n in (3, 4, 5, 6, 9, 26, 27, 28, 60, 400)}
+    series |= {f"w{p}": [1000 * math.cos(2 * math.pi * i / p) for i in range(300)] for p in (5, 12, 13)} | {"line": [i + r.gauss(0, 1e-3) for i in range(90)]}
+    found = forecasts.seasonality(frame(spark, series))
+    assert {x.series: x.strength for x in found.collect()} == {s: plain_strength(v) for s, v in series.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Window [") <= 2
