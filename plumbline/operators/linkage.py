@@ -20,6 +20,9 @@ Every such key finds all pairs that reach ``least`` (fields whose own least
 similarity is 0 can't be in a key). ``neighbours`` is for the other cases:
 the following records in an order, a fixed number for each record.
 
+Where a key holds all fields, some equal and some by ratio, records of equal ones
+are compared in tiles instead (``tiles``): no tokens and no candidates are exchanged.
+
 Equal records are one before anything is compared, so groups of copies give no
 pairs. Edge cases: null and blank values count as empty ones, two empty ones
 as alike (100), an empty and a filled one as 0; repeated and null ids get rows as often as they stand;
@@ -31,10 +34,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import tiles
 from plumbline.operators.components import connected_components
 from plumbline.operators.records import kilometres, partial_ratio, ratio, token_set
 from plumbline.sources.scratch import Workspace, stored
@@ -44,6 +49,8 @@ Q = 3
 PAIRED = 20
 #: About how many records of a block meet each other in one group of a task.
 TILE = 1_000
+#: Blocks are compared in tiles where they have this many pairs on the mean, and records no more than that many partners.
+WORTH, PARTNERS = 1_000, 1_000_000
 _CENTS = 100
 
 
@@ -269,15 +276,60 @@ def _scored(pairs: DataFrame, fields: list[Field], least: float) -> DataFrame:
     return pairs.withColumn("score", similarity(fields, "a", "b")).filter(F.col("score") >= least)
 
 
-def similar_records(df: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float = 90.0, space: Workspace | None = None) -> DataFrame:
-    """All pairs of different records whose mean similarity reaches ``least``: u, v (nodes), score."""
-    records = with_node(df, fields).select("node", *(f.name for f in fields)).dropDuplicates(["node"])
-    blocks = [_block(records, fields, key, least) for key in keys]
-    found = scored_pairs(records, candidates(records, fields, [k for k, b in zip(keys, blocks, strict=True) if not b], least, space=space), fields, least) if not all(blocks) else None
-    for block in filter(None, blocks):
-        inside = within_blocks(records, block, fields, least)
-        found = inside if found is None else found.unionByName(inside)
-    return found.distinct() if len(keys) > 1 else found
+def similar_records(df: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float = 90.0, space: Workspace | None = None, id_col: str | None = None) -> DataFrame:
+    """All pairs of different records whose mean similarity reaches ``least``: u, v, score.
+
+    Records are nodes (``with_node``), or the smallest ``id_col`` (a long) of
+    their rows; records without one give no pairs then.
+    """
+    names, records = [f.name for f in fields], with_node(df, fields)
+    if not id_col:
+        return _similar(records.select("node", *names).dropDuplicates(["node"]), fields, keys, least, space)
+    records = records.groupBy("node").agg(F.min(id_col).cast("long").alias("named"), F.first(F.struct(*names)).alias("r"))
+    return _similar(records.filter("named is not null").select("node", "named", "r.*"), fields, keys, least, space).filter("u < v")
+
+
+def _similar(records: DataFrame, fields: list[Field], keys: list[tuple[str, ...]], least: float, space: Workspace | None, spanning: bool = False) -> DataFrame:
+    """(u, v, score) of similar records, of different sides where they have one, by what they are named where they have that.
+
+    ``spanning``: for components; tiles leave out pairs that others already hold together.
+    """
+    across, named, found, by_tokens = "side" in records.columns, "named" in records.columns, [], []
+    for key in keys:
+        if equal := _tiled(records, fields, key, least):
+            values = [f.name for f in fields if f.name not in equal]
+            shares = [field_least(fields, n, least) / 100.0 for n in values]
+            weights = [(f.weight, f.name in equal) for f in fields]
+            # pairs come under their names, so that no join has to follow
+            rows = records.withColumn("node", F.col("named")) if named else records
+            found.append(tiles.compared(rows, [text(F.col(n)) for n in equal], {f"v{i}": text(F.col(n)) for i, n in enumerate(values)}, shares, weights, least, spanning))
+        else:
+            by_tokens.append(key)
+    blocks = {k: _block(records, fields, k, least) for k in by_tokens if not across}
+    others = [within_blocks(records, block, fields, least) for block in blocks.values() if block]
+    if rest := [k for k in by_tokens if not blocks.get(k)]:
+        others.append(scored_pairs(records, candidates(records, fields, rest, least, across, space), fields, least))
+    if named:
+        u, v = (records.select(F.col("node").alias(x), F.col("named").alias(n)) for x, n in (("u", "a"), ("v", "b")))
+        others = [x.join(u, "u").join(v, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "score") for x in others]
+    pairs = reduce(DataFrame.unionByName, [*found, *others])
+    return pairs.distinct() if len(keys) > 1 else pairs
+
+
+def _tiled(records: DataFrame, fields: list[Field], key: tuple[str, ...], least: float) -> list[str]:
+    """The fields of equal values of a key that tiles can compare the records by, else none.
+
+    The key has to hold all fields. Blocks of few pairs go by tokens, as a group
+    costs more than they do; so do very large ones, where tiles are quadratic.
+    """
+    by_name = {f.name: f for f in fields}
+    equal = [n for n in key if set(by_name[n].kinds) <= {"Exact", "Categorical"}]
+    values = [n for n in key if by_name[n].kinds == ("ShortString",)]
+    if not equal or not values or set(key) != set(by_name) or len(equal) + len(values) < len(key) or any(field_least(fields, n, least) <= 0 for n in key):
+        return []
+    n = F.col("count").cast("double")
+    blocks = records.groupBy(*(text(F.col(n)).alias(n) for n in equal)).count().agg(F.sum(n * n), F.sum(n), F.count("*")).first()
+    return equal if blocks[2] and blocks[0] >= 2 * WORTH * blocks[2] and blocks[0] <= PARTNERS * blocks[1] else []
 
 
 def _block(records: DataFrame, fields: list[Field], key: tuple[str, ...], least: float) -> list[str]:
@@ -372,7 +424,8 @@ def similar_clusters(state: DataFrame, fields: list[Field], keys: list[tuple[str
     """Clusters whose representatives are similar: cluster_id, merged_id (the smallest id of the group); others are left out."""
     with Workspace(state.sparkSession) as space:
         reps = space.stored(representatives(state, rules), "representatives")
-        labels = connected_components(space.stored(similar_records(reps, fields, keys, least, space).select("u", "v"), "pairs"))
+        records = with_node(reps, fields).select("node", *(f.name for f in fields)).dropDuplicates(["node"])
+        labels = connected_components(space.stored(_similar(records, fields, keys, least, space, spanning=True).select("u", "v"), "pairs"))
         grouped = with_node(reps, fields).join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
         names = grouped.groupBy("group").agg(F.min("cluster_id").alias("merged_id"), F.count("*").alias("n")).filter("n > 1")
         return stored(grouped.join(names, "group").select("cluster_id", "merged_id"), "similar")

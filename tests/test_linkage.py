@@ -201,3 +201,50 @@ def test_weak_grams_are_compared_in_blocks(spark):
     met = {(r.u, r.v): round(r.score, 6) for r in linkage.within_blocks(records, ["words"], fields, 80.0).collect()}
     by_tokens = linkage.scored_pairs(records, linkage.candidates(records, fields, [("name", "words")], 80.0), fields, 80.0).collect()
     assert met == {(r.u, r.v): round(r.score, 6) for r in by_tokens} and len(met) > 10
+
+
+def _numbered(n):
+    """Records of three nations whose names differ by a few digits, an empty one and one with other characters."""
+    r = random.Random(11)
+    rows = [(i, f"customer {r.randrange(400):04d} é {r.randrange(60):03d}{'x' * (i % 3)}", f"N{i % 3}") for i in range(n)]
+    return [*rows, (n, "", "N0"), (n + 1, None, "N1"), (n + 2, "\U0001f600", "N1")]
+
+
+NUMBERED = "id long, name string, nation string"
+
+
+def _by_plain(rows, least):
+    """Scores of pairs of different contents by their smallest ids."""
+    first = {}
+    for i, name, nation in rows:
+        first.setdefault((name, nation), i)
+    want = {}
+    for ((a, m), i), ((b, n), j) in itertools.combinations(first.items(), 2):
+        score = (3 * plain("ShortString", a or "", b or "") + 100) / 4
+        if m == n and score >= least:
+            want[min(i, j), max(i, j)] = round(score, 6)
+    return want
+
+
+@pytest.mark.parametrize("part, least", [(1_000, 92.0), (40, 92.0), (40, 85.0)])
+def test_tiles_find_all_pairs(spark, monkeypatch, part, least):
+    monkeypatch.setattr(linkage.tiles, "PART", part)
+    rows, fields = _numbered(300), [Field("name", weight=3.0), Field("nation", ("Exact",))]
+    found = linkage.similar_records(spark.createDataFrame(rows, NUMBERED), fields, [("name", "nation")], least, id_col="id")
+    # no tokens are exchanged, so no plan holds them
+    assert "token" not in found._jdf.queryExecution().toString()
+    want = _by_plain(rows, least)
+    got = [((r.u, r.v), round(r.score, 6)) for r in found.collect()]
+    assert sorted(got) == sorted(want.items()) and len(want) > 100
+
+
+def test_tiles_give_components_few_links(spark, monkeypatch):
+    """Of a dense block's pairs only those that hold it together, however many there are."""
+    monkeypatch.setattr(linkage.tiles, "PART", 60)
+    rows, fields, keys = _numbered(300), [Field("name", weight=3.0), Field("nation", ("Exact",))], [("name", "nation")]
+    df = spark.createDataFrame(rows, NUMBERED)
+    records = linkage.with_node(df, fields).select("node", "name", "nation").dropDuplicates(["node"])
+    everything, few = (linkage._similar(records, fields, keys, 85.0, None, spanning=s).select("u", "v") for s in (False, True))
+    assert few.count() <= 2 * 2 * len(rows) < everything.count() and few.exceptAll(everything).count() == 0
+    both = [sorted(map(tuple, linkage.connected_components(x).collect())) for x in (everything, few)]
+    assert both[0] == both[1]
