@@ -39,11 +39,7 @@ _CLUSTERS = f"""WITH RECURSIVE {_TYPED}, e AS (SELECT u, v FROM p UNION SELECT v
 
 @query(f"WITH {_TYPED} SELECT u, v, score FROM p")
 def similar_customers(spark, sf_dir):
-    rows = typed_customers(spark, sf_dir)
-    found = linkage.similar_records(rows, FIELDS, KEYS, LEAST)
-    ids = linkage.with_node(rows, FIELDS).groupBy("node").agg(F.min("id").alias("id"))
-    pairs = found.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v")
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.round("score", 6).alias("score"))
+    return linkage.similar_records(typed_customers(spark, sf_dir), FIELDS, KEYS, LEAST, id_col="id").select("u", "v", F.round("score", 6).alias("score"))
 
 
 @query(f"{_CLUSTERS} SELECT id, cluster_id FROM k")

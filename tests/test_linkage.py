@@ -248,3 +248,16 @@ def test_tiles_give_components_few_links(spark, monkeypatch):
     assert few.count() <= 2 * 2 * len(rows) < everything.count() and few.exceptAll(everything).count() == 0
     both = [sorted(map(tuple, linkage.connected_components(x).collect())) for x in (everything, few)]
     assert both[0] == both[1]
+
+
+
+def test_pairs_under_ids_that_repeat_or_miss(spark, monkeypatch):
+    """Tiles and tokens name records alike: by their smallest id, none of itself."""
+    rows = _numbered(120) + [(None, "customer 0001 é 001", "N0"), (7, "customer 0001 é 002", "N0"), (7, "customer 0001 é 003", "N0")]
+    df, fields, keys = spark.createDataFrame(rows, NUMBERED), [Field("name", weight=3.0), Field("nation", ("Exact",))], [("name", "nation")]
+    found = {}
+    for worth in (1, 1_000_000):
+        monkeypatch.setattr(linkage, "WORTH", worth)
+        found[worth] = sorted((r.u, r.v, round(r.score, 6)) for r in linkage.similar_records(df, fields, keys, 92.0, id_col="id").collect())
+    in_tiles, by_tokens = found.values()
+    assert in_tiles == by_tokens and len(by_tokens) > 20 and all(u < v for u, v, _ in by_tokens)
