@@ -379,7 +379,8 @@ def clusters(df: DataFrame, id_col: str, fields: list[Field], keys: list[tuple[s
     id have a null one.
     """
     with Workspace(df.sparkSession) as space:
-        links = space.stored(similar_records(df, fields, keys, least, space).select("u", "v"), "links")
+        records = with_node(df, fields).select("node", *(f.name for f in fields)).dropDuplicates(["node"])
+        links = space.stored(_similar(records, fields, keys, least, space, spanning=True).select("u", "v"), "links")
         return _named(with_node(df, fields), connected_components(links), id_col)
 
 

@@ -248,6 +248,8 @@ def test_tiles_give_components_few_links(spark, monkeypatch):
     assert few.count() <= 2 * 2 * len(rows) < everything.count() and few.exceptAll(everything).count() == 0
     both = [sorted(map(tuple, linkage.connected_components(x).collect())) for x in (everything, few)]
     assert both[0] == both[1]
+    named = {r.id: r.cluster_id for r in linkage.clusters(df, "id", fields, keys, 85.0).collect()}
+    assert all(named[u] == named[v] for u, v in _by_plain(rows, 85.0)) and len(named) == len(rows)
 
 
 
