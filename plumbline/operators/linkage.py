@@ -406,9 +406,8 @@ def extended(state: DataFrame, new: DataFrame, id_col: str, fields: list[Field],
         names = [f.name for f in fields]
         stays = old.select("node", *names).dropDuplicates(["node"]).withColumn("side", F.lit(0))
         comes = space.stored(fresh.select("node", *names).dropDuplicates(["node"]).join(stays.select("node"), "node", "left_anti").withColumn("side", F.lit(1)), "fresh")
-        links = scored_pairs(comes, candidates(comes, fields, keys, least, space=space), fields, least)
-        both = stays.unionByName(comes)
-        links = links.unionByName(scored_pairs(both, candidates(both, fields, keys, least, across=True, space=space), fields, least)).select("u", "v")
+        links = _similar(comes.drop("side"), fields, keys, least, space, spanning=True)
+        links = links.unionByName(_similar(stays.unionByName(comes), fields, keys, least, space, spanning=True)).select("u", "v")
         # a stored cluster hangs together by an edge from its smallest record to each
         first = old.groupBy("cluster_id").agg(F.min("node").alias("u"))
         held = old.join(first, "cluster_id").select("u", F.col("node").alias("v")).filter("u <> v")

@@ -252,6 +252,20 @@ def test_tiles_give_components_few_links(spark, monkeypatch):
     assert all(named[u] == named[v] for u, v in _by_plain(rows, 85.0)) and len(named) == len(rows)
 
 
+def test_tiles_of_two_sides(spark, monkeypatch):
+    """New records meet stored ones in tiles, stored ones do not meet each other."""
+    monkeypatch.setattr(linkage.tiles, "PART", 30)
+    rows, fields, keys = _numbered(300), [Field("name", weight=3.0), Field("nation", ("Exact",))], [("name", "nation")]
+    df = spark.createDataFrame(rows, NUMBERED)
+    records = df.groupBy("name", "nation").agg(F.min("id").alias("node")).withColumn("side", (F.col("node") % 4 == 0).cast("int"))
+    found = linkage._similar(records, fields, keys, 92.0, None)
+    assert "token" not in found._jdf.queryExecution().toString()
+    got = sorted((r.u, r.v) for r in found.select("u", "v").collect())
+    assert got == sorted((u, v) for u, v in _by_plain(rows, 92.0) if (u % 4 == 0) != (v % 4 == 0)) and len(got) > 50
+    at_once = sorted(map(tuple, linkage.clusters(df, "id", fields, keys, 92.0).select("id", "cluster_id").collect()))
+    grown = linkage.extended(linkage.clusters(df.filter("id % 4 <> 0"), "id", fields, keys, 92.0), df.filter("id % 4 = 0"), "id", fields, keys, 92.0)
+    assert sorted(map(tuple, grown.select("id", "cluster_id").collect())) == at_once
+
 
 def test_pairs_under_ids_that_repeat_or_miss(spark, monkeypatch):
     """Tiles and tokens name records alike: by their smallest id, none of itself."""
